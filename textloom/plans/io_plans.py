@@ -1,0 +1 @@
+"""Queries: io_plans."""
