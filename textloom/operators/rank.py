@@ -39,29 +39,33 @@ def running_sum(
     partition: Sequence[str] = (),
     total: str | None = None,
     max_buckets: int | None = None,
+    how: str = "sum",
 ) -> DataFrame:
-    """Inclusive running sum of `value` (default 1 -> exact row rank).
+    """Inclusive running aggregate (`how` = sum | min | max) of `value`; the
+    default (sum of 1) is the exact 1-based row rank.
 
     `bucket` must be non-decreasing along `order` within each `partition`
     group; `order` must be a total order (end with a unique key) when the
     result is a rank.  Adds `out` and, optionally, the group total as `total`.
     """
     part = list(partition)
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    combine = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "min": F.least, "max": F.greatest}[how]
     val = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
     b = df.withColumn("__bk", bucket).withColumn("__v", val.cast("long") if value is None else val)
-    per_bucket = b.groupBy(*part, "__bk").agg(F.sum("__v").alias("__s"))
+    per_bucket = b.groupBy(*part, "__bk").agg(agg("__v").alias("__s"))
     before = Window.partitionBy(*part).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *part,
         "__bk",
-        F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"),
+        agg("__s").over(before).alias("__off"),
         *([F.sum("__s").over(Window.partitionBy(*part)).alias(total)] if total else []),
     )
     if max_buckets is not None and max_buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, [*part, "__bk"])
     inside = Window.partitionBy(*part, "__bk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("__off") + F.sum("__v").over(inside)).drop("__bk", "__v", "__off")
+    return joined.withColumn(out, combine(F.col("__off"), agg("__v").over(inside))).drop("__bk", "__v", "__off")
 
 
 def hash_prefix_bucket(hex_key: Column, digits: int = 3) -> Column:

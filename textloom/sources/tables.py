@@ -74,12 +74,20 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric histories from events: run = user_id, epoch = order of (ts, event_id)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ev = table(spark, sf_dir, "events")
-    return ev.select(
+    """Metric histories from events: run = user_id, epoch = 0-based order of (ts, event_id).
+
+    The per-run order is an exact rank with time-quantile buckets, so one very
+    active user is still numbered by many tasks.
+    """
+    from textloom.operators.rank import exact_rank, with_quantile_bucket
+
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ev = ev.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp")))
+    ev, _ = with_quantile_bucket(ev, "__t", "__qb")
+    r = exact_rank(ev, F.col("__qb"), ["ts", "event_id"], "__r", partition=["user_id"])
+    return r.select(
         F.col("user_id").alias("run"),
-        (F.row_number().over(w) - 1).alias("epoch"),
+        (F.col("__r") - 1).cast("long").alias("epoch"),
         F.col("value").alias("metric"),
     )
 
