@@ -80,8 +80,7 @@ def decode_ids(spark: SparkSession, sf: str) -> DataFrame:
     return dec.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.md5(_join(F.col("toks"))).alias("decoded_md5"))
 
 
-@register(
-    "encode_fixed",
+SQL_FIXED_CTES = (
     sql_vocab_with()
     + ", "
     + f"docs AS (SELECT doc_id, {S.word_tokens('text')} AS tokens0 FROM documents), "
@@ -89,8 +88,14 @@ def decode_ids(spark: SparkSession, sf: str) -> DataFrame:
     + sql_ids("docs2", "doc_id", "tokens", "enc")
     + f""", body AS (SELECT e.doc_id, d.n_tokens, [{CLS}] || e.ids || [{EOS}] AS b FROM enc e JOIN docs2 d USING (doc_id)),
     fx AS (SELECT doc_id, n_tokens, len(b) AS length,
-        b || list_transform(range({MAX_LEN} - len(b)), lambda i: {PAD}) AS ids FROM body)
-    SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(length AS INTEGER) AS length,
+        b || list_transform(range({MAX_LEN} - len(b)), lambda i: {PAD}) AS ids FROM body)""" + "\n"
+)
+
+
+@register(
+    "encode_fixed",
+    SQL_FIXED_CTES
+    + f"""    SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(length AS INTEGER) AS length,
         md5(array_to_string(ids, ' ')) AS ids_md5,
         CAST(list_sum(list_transform(ids, lambda x: CASE WHEN x <> {PAD} THEN 1 ELSE 0 END)) AS BIGINT) AS mask_sum,
         CAST(list_sum(list_transform(ids, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS mask_gt0_sum,
@@ -181,3 +186,9 @@ def prep_examples(spark: SparkSession, sf: str) -> DataFrame:
         "guid", F.md5("text_a").alias("text_a_md5"), "text_b", F.size("labels").cast("int").alias("n_labels"),
         F.aggregate("labels", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias("label_sum"),
     )
+
+
+def fixed_word_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """`doc_id, n_tokens, length, input_ids, input_mask` of every document (the encode_fixed layout)."""
+    return E.encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", word_vocab(spark, sf), MAX_LEN,
+                           prefix=[CLS], suffix=[EOS], pad_id=PAD, unk_id=UNK, mask_rule="ne_pad")
