@@ -169,3 +169,85 @@ def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 __all__ = ["word_vocab", "vocab_train_tokens", "sql_vocab_with", "sql_split", "hash_order"]
+
+
+# --- sub-word tokenizer -------------------------------------------------------
+PIECE_WORDS = 2000
+
+
+def basic_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return subword.basic_tokenize(tb.table(spark, sf, "documents").select("doc_id", "text"), "text", "tokens").select(
+        "doc_id", "tokens"
+    )
+
+
+def piece_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """The sub-word vocabulary fixture built from the basic tokens of all documents."""
+    return subword.piece_vocab(basic_docs(spark, sf), "tokens", PIECE_WORDS)
+
+
+def _sql_piece_vocab() -> str:
+    from textloom.operators.vocab import PIECE_SPECIALS
+
+    specials = " UNION ALL ".join(f"SELECT {S.lit(t)} AS token, 0 AS part, {i} AS r" for i, t in enumerate(PIECE_SPECIALS))
+    return f"""bt AS (SELECT doc_id, {S.basic_tokens('text')} AS t FROM documents),
+    bw AS (SELECT unnest(t) AS word FROM bt),
+    bf AS (SELECT word, count(*) AS freq FROM bw GROUP BY word),
+    ch AS (SELECT DISTINCT unnest(regexp_extract_all(word, '.')) AS c FROM bf),
+    top AS (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS r FROM bf ORDER BY freq DESC, word LIMIT {PIECE_WORDS}),
+    parts AS ({specials}
+        UNION ALL SELECT c, 1, 0 FROM ch UNION ALL SELECT '##' || c, 1, 0 FROM ch
+        UNION ALL SELECT word, 2, r FROM top
+        UNION ALL SELECT DISTINCT '##' || right(word, 3), 3, 0 FROM top),
+    firsts AS (SELECT token, min(struct_pack(part := part, r := r)) AS k FROM parts GROUP BY token),
+    pv AS (SELECT token, row_number() OVER (ORDER BY k.part, k.r, token) - 1 AS id FROM firsts)"""
+
+
+def _sql_wordpiece() -> str:
+    return f"""WITH RECURSIVE {_sql_piece_vocab()},
+    w AS (SELECT DISTINCT word FROM bw),
+    s1 AS (SELECT word, unnest(range(length(word))) AS st FROM w WHERE length(word) <= 100),
+    s2 AS (SELECT word, st, unnest(range(1, length(word) - st + 1)) AS k FROM s1),
+    cand AS (SELECT word, st, k, CASE WHEN st = 0 THEN '' ELSE '##' END || substr(word, st + 1, k) AS p FROM s2),
+    best AS (SELECT c.word, c.st, max(c.k) AS k FROM cand c JOIN pv ON pv.token = c.p GROUP BY c.word, c.st),
+    steps(word, st, pieces) AS (
+        SELECT word, 0, CAST([] AS VARCHAR[]) FROM w WHERE length(word) <= 100
+        UNION ALL
+        SELECT s.word, s.st + b.k, list_append(s.pieces, CASE WHEN s.st = 0 THEN '' ELSE '##' END || substr(s.word, s.st + 1, b.k))
+        FROM steps s JOIN best b ON b.word = s.word AND b.st = s.st
+        WHERE s.st < length(s.word)),
+    fin AS (SELECT w.word, CASE WHEN x.st = length(w.word) THEN x.pieces ELSE ['[UNK]'] END AS pieces
+            FROM w LEFT JOIN (SELECT word, arg_max(pieces, st) AS pieces, max(st) AS st FROM steps GROUP BY word) x
+            USING (word)),
+    occ AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM bt),
+    dp AS (SELECT doc_id, flatten(list(f.pieces ORDER BY pos)) AS pieces FROM occ JOIN fin f USING (word) GROUP BY doc_id),
+    res AS (SELECT b.doc_id, coalesce(dp.pieces, CAST([] AS VARCHAR[])) AS pieces FROM bt b LEFT JOIN dp USING (doc_id))
+    SELECT doc_id, CAST(len(pieces) AS BIGINT) AS n_pieces,
+        CAST(len(list_filter(pieces, lambda p: p = '[UNK]')) AS BIGINT) AS n_unk,
+        md5(array_to_string(pieces, ' ')) AS pieces_md5 FROM res"""
+
+
+@register("tokenize_wordpiece", _sql_wordpiece())
+def tokenize_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
+    """T12 + T13 + J07: basic tokens -> greedy WordPiece over distinct words -> pieces per document."""
+    docs = basic_docs(spark, sf)
+    pieces = subword.wordpiece_tokenize(docs, "doc_id", "tokens", piece_vocab(spark, sf), "pieces")
+    return pieces.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+        F.size(F.filter("pieces", lambda p: p == subword.UNK_TOKEN)).cast("long").alias("n_unk"),
+        _digest(F.col("pieces")).alias("pieces_md5"),
+    )
+
+
+@register(
+    "src_vocab_file",
+    "WITH " + _sql_piece_vocab() + " SELECT token, CAST(id AS BIGINT) AS id FROM pv",
+)
+def src_vocab_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The sub-word vocabulary written one token per line and read back (id = line number)."""
+    from textloom.session import scratch_path
+    from textloom.sources.files import read_vocab_file, write_lines
+
+    path = scratch_path(spark, "vocab-txt")
+    write_lines(piece_vocab(spark, sf), "token", "id", path)
+    return read_vocab_file(spark, path)
