@@ -1,8 +1,9 @@
 """Column -> Column text functions (cleaning and tokenising), all JVM-side.
 
 Every function takes and returns a `Column`, so it composes inside one
-projection and stays in whole-stage codegen (regexp, translate, split and the
-higher-order array functions).  The only Python step of the text path, the
+projection and stays in whole-stage codegen: whole-string regexp / translate /
+lower followed by one split, no per-token lambda (higher-order functions are
+evaluated interpreted, per element).  The only Python step of the text path, the
 accent stripper, lives in `textloom.functions.accents`.
 """
 
@@ -75,22 +76,34 @@ def clean_text_html(text) -> Column:
     return _pad_dot_comma(c)
 
 
+def _trim_ws(c: Column) -> Column:
+    return F.regexp_replace(c, "^" + WHITESPACE_CLASS + "+|" + WHITESPACE_CLASS + "+$", "")
+
+
 def whitespace_split(text) -> Column:
-    """Python-style `strip().split()` -> ARRAY<STRING> without empty items."""
-    parts = F.split(F.coalesce(_col(text), F.lit("")), WHITESPACE_CLASS + "+")
-    return F.filter(parts, lambda x: x != F.lit(""))
+    """Python-style `strip().split()` -> ARRAY<STRING> without empty items.
+
+    Trim first, then split on runs of whitespace: no per-element lambda, so
+    the whole expression stays in generated code.
+    """
+    t = _trim_ws(F.coalesce(_col(text), F.lit("")))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WHITESPACE_CLASS + "+"))
 
 
 def word_tokens(text, lower: bool = True) -> Column:
-    """Clean (T01) + whitespace split (T03) + lower each token."""
-    toks = whitespace_split(clean_text(text))
-    return F.transform(toks, lambda t: F.lower(t)) if lower else toks
+    """Clean (T01) + whitespace split (T03) + lower each token.
+
+    Lower-casing is per character, so lowering the cleaned string before the
+    split equals lowering every token after it.
+    """
+    c = clean_text(text)
+    return whitespace_split(F.lower(c) if lower else c)
 
 
 def word_tokens_html(text, lower: bool = True) -> Column:
     """T02 variant of T04, used for markup text."""
-    toks = whitespace_split(clean_text_html(text))
-    return F.transform(toks, lambda t: F.lower(t)) if lower else toks
+    c = clean_text_html(text)
+    return whitespace_split(F.lower(c) if lower else c)
 
 
 def clean_unicode(text) -> Column:
@@ -108,27 +121,27 @@ def cjk_space(text) -> Column:
     return F.regexp_replace(_col(text), "(" + CJK_CLASS + ")", " $1 ")
 
 
-def split_punctuation(token: Column) -> Column:
-    """T08 on one token: each punctuation character becomes its own token."""
-    spaced = F.regexp_replace(token, "(" + PUNCT_CLASS + ")", " $1 ")
-    return F.filter(F.split(spaced, " "), lambda x: x != F.lit(""))
-
-
-def _is_never_split(t: Column) -> Column:
-    return t.isin(*NEVER_SPLIT)
+def _sentinel(i: int) -> str:
+    # private-use code points are category Co, removed by `clean_unicode`, so they
+    # cannot occur in cleaned text; digits survive lower-casing and NFD unchanged
+    return f"\uE000{i}\uE001"
 
 
-def basic_pre_tokens(text, do_lower_case: bool = True) -> Column:
-    """T05 -> T06 -> T03 -> lower (T09/T11).  Accents are stripped afterwards."""
-    toks = whitespace_split(cjk_space(clean_unicode(text)))
-    if not do_lower_case:
-        return toks
-    return F.transform(toks, lambda t: F.when(_is_never_split(t), t).otherwise(F.lower(t)))
+def basic_protect(text) -> Column:
+    """T05 -> T06 -> whitespace runs to one space, then every whole token that is a
+    never-split special replaced by a sentinel (T09), so whole-string lower-casing,
+    accent stripping and punctuation splitting leave it alone."""
+    c = cjk_space(clean_unicode(text))
+    c = _trim_ws(F.regexp_replace(c, WHITESPACE_CLASS + "+", " "))
+    for i, tok in enumerate(NEVER_SPLIT):
+        pattern = "(?<=^| )" + "".join("\\" + ch if not ch.isalnum() else ch for ch in tok) + "(?= |$)"
+        c = F.regexp_replace(c, pattern, _sentinel(i))
+    return c
 
 
-def basic_post_tokens(tokens) -> Column:
-    """T08 + T09 + final T03 over tokens that already had accents stripped."""
-    toks = F.filter(_col(tokens), lambda x: x != F.lit(""))
-    return F.flatten(
-        F.transform(toks, lambda t: F.when(_is_never_split(t), F.array(t)).otherwise(split_punctuation(t)))
-    )
+def basic_finish(c: Column) -> Column:
+    """T08 on the whole string, restore the specials, final T03 split."""
+    c = F.regexp_replace(c, "(" + PUNCT_CLASS + ")", " $1 ")
+    for i, tok in enumerate(NEVER_SPLIT):
+        c = _replace(c, _sentinel(i), tok)
+    return whitespace_split(c)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from textloom.functions import text as T
-from textloom.functions.accents import strip_accents_tokens
+from textloom.functions.accents import strip_accents
 from textloom.operators.vocab import PIECE_SPECIALS
 
 # Fixed values of the WordPiece rule.
@@ -28,11 +28,12 @@ MAX_PIECE_VOCAB = 5_000_000
 
 
 def basic_tokenize(df: DataFrame, text: str, out: str, do_lower_case: bool = True) -> DataFrame:
-    """Clean -> CJK spacing -> split -> (lower, strip accents) -> punctuation split."""
-    pre = T.basic_pre_tokens(text, do_lower_case)
+    """Clean -> CJK spacing -> split -> (lower, strip accents) -> punctuation split,
+    all on the whole string (specials protected), then one split."""
+    c = T.basic_protect(text)
     if do_lower_case:
-        pre = strip_accents_tokens(pre)
-    return df.withColumn(out, T.basic_post_tokens(pre))
+        c = strip_accents(F.lower(c))
+    return df.withColumn(out, T.basic_finish(c))
 
 
 def greedy_pieces(word: str, vocab, unk: str = UNK_TOKEN, max_chars: int = MAX_INPUT_CHARS_PER_WORD) -> list[str]:
@@ -58,10 +59,11 @@ def greedy_pieces(word: str, vocab, unk: str = UNK_TOKEN, max_chars: int = MAX_I
 
 
 def _vocab_set(vocab: DataFrame) -> frozenset:
-    n = vocab.count()
-    if n > MAX_PIECE_VOCAB:
-        raise ValueError(f"sub-word vocabulary has {n} entries, above {MAX_PIECE_VOCAB}")
-    return frozenset(r[0] for r in vocab.select("token").toLocalIterator())
+    """Collect a sub-word vocabulary (one job), refusing one above MAX_PIECE_VOCAB entries."""
+    rows = vocab.select("token").limit(MAX_PIECE_VOCAB + 1).collect()
+    if len(rows) > MAX_PIECE_VOCAB:
+        raise ValueError(f"sub-word vocabulary has more than {MAX_PIECE_VOCAB} entries")
+    return frozenset(r[0] for r in rows)
 
 
 def wordpiece_table(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:

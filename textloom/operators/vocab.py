@@ -73,31 +73,30 @@ def lookup_ids(
     tokens: str = "tokens",
     unk_id: int = 0,
     out: str = "ids",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """ARRAY<STRING> -> ARRAY<LONG> through an equi-join with the vocabulary.
 
-    Tokens are exploded with their position, joined on `token` (AQE chooses a
-    broadcast when the vocabulary is small at run time and splits skewed
-    partitions otherwise), and regrouped in position order per `key`.
-    Unknown tokens map to `unk_id`.  Rows with an empty array keep an empty
-    result through the outer join at the end.
+    Tokens are exploded with their position (`posexplode_outer`, so an empty
+    array still yields its row), joined on `token` -- AQE broadcasts the
+    vocabulary when it is small at run time and splits skewed partitions
+    otherwise -- and regrouped in position order per `key`.  Unknown tokens
+    map to `unk_id`.  Returns `key`, the `carry` columns (small, functionally
+    dependent on `key`) and `out`; the input is read once, never joined back.
     """
-    exploded = tokens_df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    exploded = tokens_df.select(key, *carry, F.posexplode_outer(tokens).alias("pos", "token"))
     v = vocab.select("token", F.col("id").alias("_id"))
     joined = exploded.join(v, "token", "left")
-    regrouped = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))).alias("_p")
-    )
-    ids = regrouped.select(key, F.transform("_p", lambda s: s["id"]).alias(out))
-    base = tokens_df.drop(out) if out in tokens_df.columns else tokens_df
-    return base.join(ids, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(unk_id)).cast("long").alias("id")))
+    regrouped = joined.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    return regrouped.select(key, *carry, F.col("_p.id").alias(out))
 
 
-def lookup_tokens(ids_df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "tokens") -> DataFrame:
+def lookup_tokens(ids_df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "tokens",
+                  carry: Sequence[str] = ()) -> DataFrame:
     """ARRAY<LONG> -> ARRAY<STRING> (inverse of `lookup_ids`; unknown ids -> null)."""
-    exploded = ids_df.select(key, F.posexplode(ids).alias("pos", "id"))
+    exploded = ids_df.select(key, *carry, F.posexplode_outer(ids).alias("pos", "id"))
     joined = exploded.join(vocab.select("id", "token"), "id", "left")
-    regrouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-    toks = regrouped.select(key, F.transform("_p", lambda s: s["token"]).alias(out))
-    base = ids_df.drop(out) if out in ids_df.columns else ids_df
-    return base.join(toks, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
+    regrouped = joined.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    return regrouped.select(key, *carry, F.col("_p.token").alias(out))

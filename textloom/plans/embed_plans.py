@@ -12,6 +12,7 @@ from textloom.plans import sqlfrag as S
 from textloom.plans.registry import register
 from textloom.plans.text_plans import sql_vocab_with, word_vocab
 from textloom.session import scratch_path
+from textloom.session import materialize
 from textloom.sources import files as FS
 from textloom.sources import tables as tb
 
@@ -29,8 +30,8 @@ def word_vectors(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -
     return FS.read_vectors(spark, path, DIM)
 
 
-def id_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = word_vocab(spark, sf)
+def id_vectors(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
+    vocab = vocab if vocab is not None else word_vocab(spark, sf)
     return EM.attach_vectors(vocab, word_vectors(spark, sf, vocab), DIM)
 
 
@@ -57,7 +58,7 @@ def _sql_summary(src: str, key: str) -> str:
 )
 def embed_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """S05 + J03: vector of every vocabulary entry (zeros when the file has none)."""
-    iv = id_vectors(spark, sf)
+    iv = id_vectors(spark, sf, materialize(word_vocab(spark, sf)))
     return iv.select("token", "id", "has_vec", *EM.vec_summary(F.col("vec")))
 
 
@@ -74,8 +75,10 @@ def embed_lookup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def embed_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of token vectors over all 256 positions of the fixed encoding (padding included)."""
-    enc = fixed_word_encoding(spark, sf)
-    pooled = EM.mean_pool(enc, "doc_id", "input_ids", "length", id_vectors(spark, sf), MAX_LEN, DIM, masked=False, pad_id=PAD)
+    vocab = materialize(word_vocab(spark, sf))
+    enc = fixed_word_encoding(spark, sf, vocab)
+    vecs = materialize(id_vectors(spark, sf, vocab))
+    pooled = EM.mean_pool(enc, "doc_id", "input_ids", "length", vecs, MAX_LEN, DIM, masked=False, pad_id=PAD)
     return pooled.select("doc_id", *EM.vec_summary(F.col("pooled")))
 
 
@@ -94,7 +97,8 @@ def embed_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 )
 def embed_first_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Vector of position 0 in the layout with both specials at the end (ids + <eos> <cls>)."""
-    enc = encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", word_vocab(spark, sf), MAX_LEN,
+    vocab = materialize(word_vocab(spark, sf))
+    enc = encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", vocab, MAX_LEN,
                         prefix=(), suffix=(EOS, CLS), pad_id=PAD, unk_id=UNK)
-    first = EM.first_pool(enc, "doc_id", "input_ids", id_vectors(spark, sf), DIM)
+    first = EM.first_pool(enc, "doc_id", "input_ids", id_vectors(spark, sf, vocab), DIM)
     return first.select("doc_id", F.col("id").alias("first_id"), *EM.vec_summary(F.col("pooled")))

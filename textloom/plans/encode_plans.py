@@ -11,6 +11,7 @@ from textloom.operators.vocab import lookup_ids, lookup_tokens
 from textloom.plans import sqlfrag as S
 from textloom.plans.registry import register
 from textloom.plans.text_plans import sql_vocab_with, word_vocab
+from textloom.session import materialize
 from textloom.sources import tables as tb
 
 UNK, PAD, CLS, EOS = 0, 1, 2, 3
@@ -74,7 +75,7 @@ def encode_ids(spark: SparkSession, sf: str) -> DataFrame:
 )
 def decode_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids -> tokens (round trip of J01: unknown words come back as <unk>)."""
-    vocab = word_vocab(spark, sf)
+    vocab = materialize(word_vocab(spark, sf))
     enc = lookup_ids(_doc_tokens(spark, sf), vocab, "doc_id", "tokens", UNK, "ids").select("doc_id", "ids")
     dec = lookup_tokens(enc, vocab, "doc_id", "ids", "toks")
     return dec.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.md5(_join(F.col("toks"))).alias("decoded_md5"))
@@ -188,7 +189,8 @@ def prep_examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fixed_word_encoding(spark: SparkSession, sf: str) -> DataFrame:
+def fixed_word_encoding(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
     """`doc_id, n_tokens, length, input_ids, input_mask` of every document (the encode_fixed layout)."""
-    return E.encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", word_vocab(spark, sf), MAX_LEN,
+    vocab = vocab if vocab is not None else word_vocab(spark, sf)
+    return E.encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", vocab, MAX_LEN,
                            prefix=[CLS], suffix=[EOS], pad_id=PAD, unk_id=UNK, mask_rule="ne_pad")

@@ -95,13 +95,8 @@ def ml_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return scored.join(F.broadcast(best), "label").select("doc_id", "label", F.round("prob", 6).alias("prob"), "y", "best_epoch")
 
 
-def _accumulate(k: int):
-    weight = _weight_expr(k)
-    return lambda acc, w: acc + weight(w)
-
-
-def _weight_expr(k: int):
-    return lambda t: ((F.char_length(t) + F.lit(k)) % 7 - 3).cast("double") / F.lit(10.0)
+def _weight(k: int):
+    return ((F.char_length("w") + F.lit(k)) % 7 - 3).cast("double") / F.lit(10.0)
 
 
 @register(
@@ -117,12 +112,17 @@ def _weight_expr(k: int):
 )
 def score_linear(spark: SparkSession, sf: str) -> DataFrame:
     """M03 built-in model: a fixed-weight linear scorer over word tokens (weight from the
-    token length), mean over the document's tokens, one logit and 0/1 prediction per label."""
-    d = tb.table(spark, sf, "documents").select("doc_id", T.word_tokens("text").alias("t"))
+    token length), mean over the document's tokens, one logit and 0/1 prediction per label.
+
+    Tokens are exploded and summed per document by a hash aggregate whose
+    partial step runs before the shuffle (one row per document and task).
+    """
+    d = tb.table(spark, sf, "documents").select("doc_id", F.explode_outer(T.word_tokens("text")).alias("w"))
+    sums = d.groupBy("doc_id").agg(
+        F.count("w").alias("__n"), *[F.sum(_weight(k)).alias(f"__s{k}") for k in range(len(LABELS))]
+    )
     cols = []
     for k, l in enumerate(LABELS):
-        total = F.aggregate("t", F.lit(0.0), _accumulate(k))
-        logit = F.when(F.size("t") == 0, F.lit(0.0)).otherwise(total / F.size("t"))
-        d = d.withColumn(f"__l{k}", logit)
-        cols += [F.round(f"__l{k}", 6).alias(f"logit_{l}"), (sigmoid(F.col(f"__l{k}")) > 0.5).cast("int").alias(f"pred_{l}")]
-    return d.select("doc_id", *cols)
+        logit = F.when(F.col("__n") == 0, F.lit(0.0)).otherwise(F.col(f"__s{k}") / F.col("__n"))
+        cols += [F.round(logit, 6).alias(f"logit_{l}"), (sigmoid(logit) > 0.5).cast("int").alias(f"pred_{l}")]
+    return sums.select("doc_id", *cols)

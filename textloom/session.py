@@ -61,3 +61,11 @@ def local_file_path(path: str) -> str:
 
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: computes `df` once and cuts
+    its lineage, so a table used several times in one job (a vocabulary) is not
+    recomputed and survives executor loss.  Never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
