@@ -76,18 +76,13 @@ def clean_text_html(text) -> Column:
     return _pad_dot_comma(c)
 
 
-def _trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, "^" + WHITESPACE_CLASS + "+|" + WHITESPACE_CLASS + "+$", "")
-
-
 def whitespace_split(text) -> Column:
     """Python-style `strip().split()` -> ARRAY<STRING> without empty items.
 
-    Trim first, then split on runs of whitespace: no per-element lambda, so
-    the whole expression stays in generated code.
+    Split on runs of whitespace and drop the empty strings a leading or
+    trailing run leaves (`array_remove`, no per-element lambda).
     """
-    t = _trim_ws(F.coalesce(_col(text), F.lit("")))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WHITESPACE_CLASS + "+"))
+    return F.array_remove(F.split(F.coalesce(_col(text), F.lit("")), WHITESPACE_CLASS + "+"), "")
 
 
 def word_tokens(text, lower: bool = True) -> Column:
@@ -128,20 +123,22 @@ def _sentinel(i: int) -> str:
 
 
 def basic_protect(text) -> Column:
-    """T05 -> T06 -> whitespace runs to one space, then every whole token that is a
-    never-split special replaced by a sentinel (T09), so whole-string lower-casing,
-    accent stripping and punctuation splitting leave it alone."""
+    """T05 -> T06, then every whole token that is a never-split special replaced by a
+    sentinel (T09), so whole-string lower-casing, accent stripping and punctuation
+    splitting leave it alone.  Only texts holding a `[` run the special patterns."""
     c = cjk_space(clean_unicode(text))
-    c = _trim_ws(F.regexp_replace(c, WHITESPACE_CLASS + "+", " "))
+    protected = c
     for i, tok in enumerate(NEVER_SPLIT):
-        pattern = "(?<=^| )" + "".join("\\" + ch if not ch.isalnum() else ch for ch in tok) + "(?= |$)"
-        c = F.regexp_replace(c, pattern, _sentinel(i))
-    return c
+        body = "".join("\\" + ch if not ch.isalnum() else ch for ch in tok)
+        pattern = f"(?<=^|{WHITESPACE_CLASS}){body}(?={WHITESPACE_CLASS}|$)"
+        protected = F.regexp_replace(protected, pattern, _sentinel(i))
+    return F.when(F.instr(c, "[") > 0, protected).otherwise(c)
 
 
 def basic_finish(c: Column) -> Column:
     """T08 on the whole string, restore the specials, final T03 split."""
     c = F.regexp_replace(c, "(" + PUNCT_CLASS + ")", " $1 ")
+    restored = c
     for i, tok in enumerate(NEVER_SPLIT):
-        c = _replace(c, _sentinel(i), tok)
-    return whitespace_split(c)
+        restored = _replace(restored, _sentinel(i), tok)
+    return whitespace_split(F.when(F.instr(c, "\uE000") > 0, restored).otherwise(c))

@@ -82,18 +82,16 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, word: str = "word") -> D
 def wordpiece_tokenize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
     """ARRAY<STRING> of basic tokens -> ARRAY<STRING> of word pieces, per `key`.
 
-    distinct words -> UDF -> equi-join back on the word -> regroup by key in
-    token order.  `df` must be unique on `key`.
+    Token occurrences are exploded once (`posexplode_outer` keeps empty rows);
+    their distinct words go through the UDF, the pieces are equi-joined back on
+    the word and regrouped by key in token order.  Returns `key` and `out`.
     """
-    occ = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    table = wordpiece_table(occ.select("word").distinct(), vocab)
-    joined = occ.join(table, "word")
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("_p"))
-    pieces = grouped.select(key, F.flatten(F.transform("_p", lambda s: s["pieces"])).alias(out))
-    return (
-        df.join(pieces, key, "left")
-        .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
-    )
+    occ = df.select(key, F.posexplode_outer(tokens).alias("pos", "word"))
+    table = wordpiece_table(occ.where(F.col("word").isNotNull()).select("word").distinct(), vocab)
+    joined = occ.join(table, "word", "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "pieces"))
+    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    return grouped.select(key, F.flatten(F.col("_p.pieces")).alias(out))
 
 
 def piece_vocab(basic_tokens: DataFrame, tokens: str = "tokens", n_words: int = 2000) -> DataFrame:

@@ -12,6 +12,7 @@ from textloom.operators.split import hash_order, split_exact
 from textloom.operators.vocab import WORD_SPECIALS, build_vocab, token_frequencies, top_tokens
 from textloom.plans import sqlfrag as S
 from textloom.plans.registry import register
+from textloom.session import materialize
 from textloom.sources import tables as tb
 
 SPLIT_SEED = 23
@@ -230,11 +231,14 @@ def _sql_wordpiece() -> str:
 @register("tokenize_wordpiece", _sql_wordpiece())
 def tokenize_wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     """T12 + T13 + J07: basic tokens -> greedy WordPiece over distinct words -> pieces per document."""
-    docs = basic_docs(spark, sf)
-    pieces = subword.wordpiece_tokenize(docs, "doc_id", "tokens", piece_vocab(spark, sf), "pieces")
+    # basic tokens feed both the sub-word vocabulary and the tokenization: computed
+    # once (one pass of the accent UDF) and checkpointed to the shared folder
+    docs = materialize(basic_docs(spark, sf))
+    vocab = subword.piece_vocab(docs, "tokens", PIECE_WORDS)
+    pieces = subword.wordpiece_tokenize(docs, "doc_id", "tokens", vocab, "pieces")
     return pieces.select(
         "doc_id", F.size("pieces").cast("long").alias("n_pieces"),
-        F.size(F.filter("pieces", lambda p: p == subword.UNK_TOKEN)).cast("long").alias("n_unk"),
+        (F.size("pieces") - F.size(F.array_remove("pieces", subword.UNK_TOKEN))).cast("long").alias("n_unk"),
         _digest(F.col("pieces")).alias("pieces_md5"),
     )
 
@@ -249,5 +253,6 @@ def src_vocab_file(spark: SparkSession, sf: str) -> DataFrame:
     from textloom.sources.files import read_vocab_file, write_lines
 
     path = scratch_path(spark, "vocab-txt")
-    write_lines(piece_vocab(spark, sf), "token", "id", path)
+    # bounded table, sorted then written: checkpoint it so sampling and writing reuse it
+    write_lines(materialize(piece_vocab(spark, sf)), "token", "id", path)
     return read_vocab_file(spark, path)
