@@ -6,7 +6,6 @@ Spark ML results depend on optimiser details, so these are rows-only checks
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from textloom.operators.history import best_checkpoint
 from textloom.operators.split import split_exact
 from textloom.plans import sqlfrag as S
 from textloom.plans.registry import register
-from textloom.session import scratch_path
+from textloom.session import materialize, scratch_path
 from textloom.sources import tables as tb
 
 LABELS = tb.LABELS
@@ -26,12 +25,23 @@ SEED = 23
 POS_WEIGHT = 10.0
 
 
+NUM_FEATURES = 1 << 16
+
+
 def _split_features(spark: SparkSession, sf: str):
-    """Word tokens of the labelled documents, exact 80/20 split, features fitted on train."""
-    six = tb.six_labels(spark, sf).select("doc_id", T.word_tokens("text").alias("tokens"), *LABELS)
-    split = split_exact(six, "doc_id", SEED, train_ratio=None, test_ratio=0.2)
-    feat_model = ML.fit_features(split.where("is_train = 1"))
-    feats = feat_model.transform(split).drop("tf", "tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    """Word tokens of the labelled documents, exact 80/20 split, features fitted on train.
+
+    The split is ranked on `doc_id` alone and joined to the text afterwards,
+    so tokenising happens once; tokens and features are checkpointed, because
+    the IDF fit and every per-label fit read them again.
+    """
+    six = tb.six_labels(spark, sf)
+    flags = split_exact(six.select("doc_id"), "doc_id", SEED, train_ratio=None, test_ratio=0.2)
+    data = materialize(
+        six.join(flags, "doc_id").select("doc_id", T.word_tokens("text").alias("tokens"), "is_train", *LABELS)
+    )
+    feat_model = ML.fit_features(data.where("is_train = 1"), num_features=NUM_FEATURES)
+    feats = materialize(feat_model.transform(data).drop("tf", "tokens"))
     return feat_model, feats
 
 
@@ -48,7 +58,7 @@ def ml_train_per_label(spark: SparkSession, sf: str) -> DataFrame:
     one row per label with its training size and final objective."""
     _, feats = _split_features(spark, sf)
     train = feats.where("is_train = 1")
-    models = ML.fit_per_label(train, LABELS, pos_weight=POS_WEIGHT)
+    models = ML.fit_per_label(train, LABELS, pos_weight=POS_WEIGHT, parallelism=len(LABELS))
     hist = ML.objective_history(spark, models)
     best = best_checkpoint(hist)
     return best.select(
@@ -60,7 +70,7 @@ def ml_train_per_label(spark: SparkSession, sf: str) -> DataFrame:
 def ml_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Hold-out evaluation: AUC, mean BCE on the probability's logit, accuracy per label."""
     _, feats = _split_features(spark, sf)
-    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT)
+    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT, parallelism=len(LABELS))
     long = _long_valid(models, feats).withColumnRenamed("logit", "score")
     auc = M.auc(long)
     losses = M.mean_losses(long)
@@ -73,7 +83,7 @@ def ml_eval(spark: SparkSession, sf: str) -> DataFrame:
 def ml_score(spark: SparkSession, sf: str) -> DataFrame:
     """Score every unlabelled document with every label's model (long form)."""
     feat_model, feats = _split_features(spark, sf)
-    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT)
+    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT, parallelism=len(LABELS))
     test = tb.test_comments(spark, sf).select("doc_id", T.word_tokens("text").alias("tokens"))
     test_feats = feat_model.transform(test)
     return ML.score_per_label(models, test_feats, "doc_id").select("doc_id", "label", "prob")
@@ -84,7 +94,7 @@ def ml_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """K04 + S07: save per-label models and their objective history, load both back, and
     score the validation split with the loaded models (best checkpoint read from history)."""
     _, feats = _split_features(spark, sf)
-    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT)
+    models = ML.fit_per_label(feats.where("is_train = 1"), LABELS, pos_weight=POS_WEIGHT, parallelism=len(LABELS))
     path = scratch_path(spark, "models")
     ML.save_models(models, path)
     ML.objective_history(spark, models).write.mode("overwrite").parquet(f"{path}/_history")
