@@ -40,7 +40,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a local one only when unset."""
-    path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    path = spark.conf.get(CHECKPOINT_KEY, None)
+    if not path:
+        try:  # a checkpoint folder set on the context directly
+            path = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+        except Exception:
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="textloom-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, path)
