@@ -21,6 +21,7 @@ from textloom.functions.scoring import (
     squared_error,
 )
 from textloom.operators.rank import running_sum, with_quantile_bucket
+from textloom.session import materialize
 
 
 def _score_counts(long: DataFrame, group: Sequence[str], score: str, y: str) -> DataFrame:
@@ -39,10 +40,13 @@ def _score_counts(long: DataFrame, group: Sequence[str], score: str, y: str) ->
 def _cumulative(g: DataFrame, group: Sequence[str], score: str, value: str, out: str,
                 descending: bool, bucketed: bool) -> DataFrame:
     if bucketed:
-        g, _ = with_quantile_bucket(g, score, "__qb")
+        has_bucket = "__qb" in g.columns
+        if not has_bucket:
+            g, _ = with_quantile_bucket(g, score, "__qb")
         bucket = -F.col("__qb") if descending else F.col("__qb")
         order = [F.col(score).desc()] if descending else [F.col(score)]
-        return running_sum(g, bucket, order, F.col(value), out, partition=list(group)).drop("__qb")
+        out_df = running_sum(g, bucket, order, F.col(value), out, partition=list(group))
+        return out_df if has_bucket else out_df.drop("__qb")
     order = F.col(score).desc() if descending else F.col(score)
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumn(out, F.sum(value).over(w))
@@ -99,17 +103,41 @@ def auc_macro(long: DataFrame, key: str, group: str = "label", score: str = "sco
     return agg.select(F.when(F.col("o") > 0, F.col("s")).otherwise(F.col("m")).alias("auc_macro"))
 
 
-def roc_curve(long: DataFrame, group: Sequence[str] = ("label",), score: str = "score", y: str = "y") -> DataFrame:
+def roc_curve(long: DataFrame, group: Sequence[str] = ("label",), score: str = "score", y: str = "y",
+              drop_intermediate: bool = False) -> DataFrame:
     """ROC points per group by descending distinct threshold, plus the (0, 0) start
-    point whose threshold is max + 1 (no intermediate points dropped)."""
+    point whose threshold is max + 1.
+
+    drop_intermediate=True removes points whose second differences of both fps and tps
+    are zero (collinear with their neighbours; first and last point kept).  Neighbours
+    come from an exact point rank and equi-joins on (group, rank +- 1), not from an
+    un-partitioned lag/lead.
+    """
     g = _score_counts(long, group, score, y)
+    # one set of score-quantile buckets serves every running sum below
+    g, _ = with_quantile_bucket(g, score, "__qb")
+    if drop_intermediate:
+        g = materialize(g)
     c = _cumulative(g, group, score, "pos", "tps", descending=True, bucketed=True)
     c = _cumulative(c, group, score, "neg", "fps", descending=True, bucketed=True)
-    tot = g.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max(score).alias("__mx"))
+    tot = g.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max(score).alias("__mx"),
+                                F.count(F.lit(1)).alias("__k"))
+    if drop_intermediate:
+        c = running_sum(c, -F.col("__qb"), [F.col(score).desc()], None, "__r", partition=list(group))
+        # read three times below (itself and both neighbours): computed once, lineage cut
+        c = materialize(c)
+        pts = c.select(*group, "__r", "tps", "fps")
+        prev = pts.select(*group, (F.col("__r") + 1).alias("__r"), F.col("tps").alias("__tp"), F.col("fps").alias("__fp"))
+        nxt = pts.select(*group, (F.col("__r") - 1).alias("__r"), F.col("tps").alias("__tn"), F.col("fps").alias("__fn"))
+        c = c.join(prev, [*group, "__r"], "left").join(nxt, [*group, "__r"], "left")
+        d2 = lambda a, p, n: F.col(n) - 2 * F.col(a) + F.col(p)
+        keep = F.col("__tp").isNull() | F.col("__tn").isNull() | (d2("fps", "__fp", "__fn") != 0) | (d2("tps", "__tp", "__tn") != 0)
+        c = c.where(keep)
     start = tot.select(*group, (F.col("__mx") + 1).alias(score), F.lit(0).cast("long").alias("tps"),
                        F.lit(0).cast("long").alias("fps"), "P", "N")
     # `tot` has one row per label: broadcast it so no label is shuffled into one task
-    pts = c.join(F.broadcast(tot.drop("__mx")), list(group)).select(*group, score, "tps", "fps", "P", "N").unionByName(start)
+    pts = c.join(F.broadcast(tot.drop("__mx", "__k")), list(group)).select(*group, score, "tps", "fps", "P", "N")
+    pts = pts.unionByName(start)
     return pts.select(
         *group,
         F.col(score).alias("threshold"),

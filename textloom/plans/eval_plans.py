@@ -143,6 +143,28 @@ def eval_roc_curve(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("label", _r6("threshold").alias("threshold"), "tps", "fps", _r6("fpr").alias("fpr"), _r6("tpr").alias("tpr"))
 
 
+@register(
+    "eval_roc_curve_dropped",
+    tb.sql_with("long_scores")
+    + """, g AS (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM long_scores GROUP BY label, score),
+    c AS (SELECT label, score,
+            sum(pos) OVER (PARTITION BY label ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+            sum(neg) OVER (PARTITION BY label ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps FROM g),
+    nb AS (SELECT *, lag(tps) OVER w AS tp, lead(tps) OVER w AS tn, lag(fps) OVER w AS fp, lead(fps) OVER w AS fn
+           FROM c WINDOW w AS (PARTITION BY label ORDER BY score DESC)),
+    kept AS (SELECT * FROM nb WHERE tp IS NULL OR tn IS NULL OR fn - 2 * fps + fp <> 0 OR tn - 2 * tps + tp <> 0),
+    t AS (SELECT label, sum(pos) AS p, sum(neg) AS n, max(score) AS mx FROM g GROUP BY label),
+    pts AS (SELECT k.label, k.score AS threshold, tps, fps, p, n FROM kept k JOIN t USING (label)
+            UNION ALL SELECT label, mx + 1, 0, 0, p, n FROM t)
+    SELECT label, round(threshold, 6) AS threshold, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps,
+        round(fps / n, 6) AS fpr, round(tps / p, 6) AS tpr FROM pts""",
+)
+def eval_roc_curve_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """W02 with intermediate collinear points dropped (the ROC library default)."""
+    r = M.roc_curve(tb.long_scores(spark, sf), drop_intermediate=True)
+    return r.select("label", _r6("threshold").alias("threshold"), "tps", "fps", _r6("fpr").alias("fpr"), _r6("tpr").alias("tpr"))
+
+
 _SP = "(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
 
 

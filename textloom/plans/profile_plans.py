@@ -59,6 +59,33 @@ def eda_label_prevalence(spark: SparkSession, sf: str) -> DataFrame:
     return profile.label_prevalence(tb.six_labels(spark, sf), LABELS)
 
 
+def _sql_pred_prevalence() -> str:
+    from textloom.plans.submit_plans import _sql_test_scores
+
+    preds = ", ".join(f"CAST(1.0 / (1.0 + exp(-logit_{l})) > 0.5 AS INTEGER) AS {l}" for l in LABELS)
+    body = " UNION ALL ".join(
+        f"""SELECT '{l}' AS label, CAST(sum({l}) AS BIGINT) AS positives, CAST(count(*) - sum({l}) AS BIGINT) AS negatives,
+            round(100.0 * sum({l}) / (SELECT count(*) FROM train_comments), 6) AS pct,
+            round(sum({l}) / (count(*) - sum({l})), 6) AS pos_neg_ratio FROM preds"""
+        for l in LABELS
+    )
+    return (tb.sql_with("train_comments", "test_comments")[:-1] + ", " + _sql_test_scores()
+            + f", preds AS (SELECT doc_id, {preds} FROM test_scores)\n" + body)
+
+
+@register("eda_pred_prevalence", _sql_pred_prevalence())
+def eda_pred_prevalence(spark: SparkSession, sf: str) -> DataFrame:
+    """A04 with the reference's denominator (D13): positives among the thresholded test
+    predictions, as a percentage of the *training* row count."""
+    from textloom.plans.submit_plans import test_scores
+
+    n_train = tb.train_comments(spark, sf).count()  # one scalar
+    preds = test_scores(spark, sf).select(
+        "doc_id", *[(sigmoid(f"logit_{l}") > 0.5).cast("int").alias(l) for l in LABELS]
+    )
+    return profile.label_prevalence(preds, LABELS, denominator=n_train)
+
+
 @register(
     "eda_text_length",
     """SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(max(length(text)) AS BIGINT) AS max_chars,
