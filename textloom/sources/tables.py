@@ -67,10 +67,21 @@ def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as sentence pairs: text_b is the next turn (null on the last)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    conv = table(spark, sf_dir, "conversations")
-    return conv.select("conv_id", "turn", F.col("text").alias("text_a"), F.lead("text").over(w).alias("text_b"))
+    """Conversation turns as sentence pairs: text_b is the next turn (null on the last).
+
+    `lead` over a conversation window would put one very long conversation in
+    one task; instead turns get an exact per-conversation rank (turn-quantile
+    buckets) and the next turn is an equi-join on (conv_id, rank + 1).
+    """
+    from textloom.operators.rank import exact_rank, with_quantile_bucket
+
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    conv, _ = with_quantile_bucket(conv, "turn", "__qb")
+    ranked = exact_rank(conv, F.col("__qb"), ["turn"], "__r", partition=["conv_id"]).drop("__qb")
+    nxt = ranked.select("conv_id", (F.col("__r") - 1).alias("__r"), F.col("text").alias("text_b"))
+    return ranked.join(nxt, ["conv_id", "__r"], "left").select(
+        "conv_id", "turn", F.col("text").alias("text_a"), "text_b"
+    )
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
