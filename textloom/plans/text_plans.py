@@ -254,5 +254,6 @@ def src_vocab_file(spark: SparkSession, sf: str) -> DataFrame:
 
     path = scratch_path(spark, "vocab-txt")
     # bounded table, sorted then written: checkpoint it so sampling and writing reuse it
-    write_lines(materialize(piece_vocab(spark, sf)), "token", "id", path)
+    docs = materialize(basic_docs(spark, sf))
+    write_lines(materialize(subword.piece_vocab(docs, "tokens", PIECE_WORDS)), "token", "id", path)
     return read_vocab_file(spark, path)
