@@ -22,26 +22,24 @@ def attach_vectors(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return j.select("token", "id", F.coalesce("__v", zeros).alias("vec"), F.col("__v").isNotNull().cast("int").alias("has_vec"))
 
 
-def _vec_sum_by_key(pos_ids: DataFrame, key: str, id_vectors: DataFrame) -> DataFrame:
-    j = pos_ids.join(id_vectors.select("id", "vec"), "id")
-    return j.groupBy(key).agg(
-        Summarizer.sum(array_to_vector(F.col("vec"))).alias("__s"), F.count(F.lit(1)).alias("__n")
-    ).select(key, vector_to_array("__s").alias("__sum"), "__n")
-
-
 def mean_pool(df: DataFrame, key: str, ids: str, length: str, id_vectors: DataFrame, max_len: int, dim: int,
               masked: bool = False, pad_id: int = 0) -> DataFrame:
     """Mean of the token vectors of each row.
 
     masked=False divides by max_len and counts padding positions (as the
     reference's mean over the hidden states); masked=True averages the first
-    `length` positions only.  Adds `pooled ARRAY<DOUBLE>`.
+    `length` positions only.  One pass over `df`: real positions are exploded
+    (`posexplode_outer` keeps a row without any), joined to their vectors and
+    summed per row by a grouped `Summarizer` that carries the length along.
+    Adds `pooled ARRAY<DOUBLE>`.
     """
-    real = df.select(key, F.posexplode(F.slice(F.col(ids), 1, F.col(length))).alias("pos", "id"))
-    sums = _vec_sum_by_key(real, key, id_vectors)
-    zeros = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    base = df.select(key, F.col(length).alias("__len")).join(sums, key, "left")
-    s = F.coalesce(F.col("__sum"), zeros)
+    zeros_f = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    real = df.select(key, F.col(length).alias("__len"),
+                     F.posexplode_outer(F.slice(F.col(ids), 1, F.col(length))).alias("pos", "id"))
+    j = real.join(id_vectors.select("id", F.col("vec").alias("__vec")), "id", "left")
+    sums = j.groupBy(key, "__len").agg(Summarizer.sum(array_to_vector(F.coalesce("__vec", zeros_f))).alias("__s"))
+    base = sums.select(key, "__len", vector_to_array("__s").alias("__sum"))
+    s = F.col("__sum")
     if masked:
         pooled = F.transform(s, lambda x: x / F.col("__len"))
         return base.select(key, pooled.alias("pooled"))
