@@ -259,3 +259,19 @@ def test_vocab_file_order(spark, tmp_path):
     FS.write_lines(df, "token", "id", str(tmp_path / "v"))
     back = {r["id"]: r["token"] for r in FS.read_vocab_file(spark, str(tmp_path / "v")).collect()}
     assert back == {i: t for t, i in words}
+
+
+def test_next_turn_by_rank_join_equals_lead(spark, tmp_path):
+    """The sentence-pair fixture pairs each turn with the next one even when turn numbers have gaps."""
+    from pyspark.sql import Window
+
+    from textloom.sources import tables as tb
+
+    rows = [(c, t, f"c{c}t{t}") for c in range(5) for t in range(0, 3 * (c + 2), 3)] + [(9, 7, "only")]
+    d = tmp_path / "sf"
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(d / "conversations.parquet"))
+    got = {(r["conv_id"], r["turn"]): r["text_b"] for r in tb.pairs(spark, str(d)).collect()}
+    src = spark.read.parquet(str(d / "conversations.parquet"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    want = {(r["conv_id"], r["turn"]): r["b"] for r in src.select("conv_id", "turn", F.lead("text").over(w).alias("b")).collect()}
+    assert got == want
