@@ -275,3 +275,17 @@ def test_next_turn_by_rank_join_equals_lead(spark, tmp_path):
     w = Window.partitionBy("conv_id").orderBy("turn")
     want = {(r["conv_id"], r["turn"]): r["b"] for r in src.select("conv_id", "turn", F.lead("text").over(w).alias("b")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("mode", ["min", "max"])
+def test_early_stop_percent_with_negative_runs(spark, mode):
+    """Runs with a negative metric take the sequential fold, the rest the parallel form."""
+    rnd = random.Random(17)
+    runs = {r: [round(rnd.uniform(-5, 10) if r % 3 == 0 else rnd.uniform(0, 10), 1) for _ in range(rnd.randint(1, 25))]
+            for r in range(30)}
+    df = _hist_df(spark, runs)
+    got = {r["run"]: r for r in H.early_stop(df, mode, 3, 10.0, True).collect()}
+    for run, series in runs.items():
+        stop, best = _python_stop(series, mode, 3, 10.0, True)
+        assert got[run]["stop_epoch"] == stop, (run, series)
+        assert got[run]["best_metric"] == pytest.approx(best), (run, series)
