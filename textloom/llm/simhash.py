@@ -90,6 +90,12 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+def _probes(fp: Column, segment: int, first: int, width: int, radius: int) -> Column:
+    """The table keys within `radius` bits of a fingerprint's segment."""
+    flips = F.array(*[F.lit(m).cast("long") for m in _ball(width, radius)])
+    return F.transform(flips, lambda m: F.struct(F.lit(segment).alias("s"), _segment(fp, first, width).bitwiseXOR(m).alias("k")))
+
+
 def links(distinct: DataFrame, max_bits: int, segments: int) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` with count `n`, enough to give the components."""
     plan = segment_plan(max_bits, segments)
@@ -102,10 +108,7 @@ def links(distinct: DataFrame, max_bits: int, segments: int) -> DataFrame:
     known = components(stars).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     nodes = written(distinct.join(known, "fp", "left").select("fp", F.coalesce("c", "fp").alias("c")), "simhash-nodes")
     filed_nodes = nodes.withColumn("e", filed).select("fp", "c", "e.s", "e.k")
-    ball = F.explode(F.flatten(F.array(*[
-        F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(w, r)]),
-                    lambda m, i=i, at=at, w=w: F.struct(F.lit(i).alias("s"), _segment(F.col("fp"), at, w).bitwiseXOR(m).alias("k")))
-        for i, (at, w, r) in enumerate(plan)])))
+    ball = F.explode(F.flatten(F.array(*[_probes(F.col("fp"), i, at, w, r) for i, (at, w, r) in enumerate(plan)])))
     asked = nodes.withColumn("e", ball).select(F.col("fp").alias("q"), F.col("c").alias("qc"), "e.s", "e.k")
     t, q = filed_nodes.alias("t"), asked.alias("q")
     found = t.join(q, (F.col("t.s") == F.col("q.s")) & (F.col("t.k") == F.col("q.k"))
