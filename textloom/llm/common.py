@@ -89,14 +89,13 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Co
     names = {f"{n}_base_": n for n in sums}
     per = df.groupBy(*keys, b).agg(*[F.sum(c).alias(f"{n}_b_") for n, c in sums.items()])
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*keys, b, *[F.coalesce(F.sum(f"{n}_b_").over(w), F.lit(0)).alias(base) for base, n in names.items()])
-    same = [df[k].eqNullSafe(per[k]) for k in [*keys, b]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
+    key = fresh(df, "run_")
+    per = per.select(F.struct(*keys, b, *[F.coalesce(F.sum(f"{n}_b_").over(w), F.lit(0)).alias(base) for base, n in names.items()]).alias(key))
+    cond = F.lit(True)
+    for k in [*keys, b]:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{key}.{k}"))
     w2 = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(per, cond, "left").select(*[df[c] for c in df.columns], *[per[x] for x in names])
-    return joined.select(
+    return df.join(per, cond, "left").select(
         *[c for c in df.columns if c != b],
-        *[(F.col(base) + F.coalesce(F.sum(sums[n]).over(w2), F.lit(0))).alias(n) for base, n in names.items()],
+        *[(F.col(f"{key}.{base}") + F.coalesce(F.sum(sums[n]).over(w2), F.lit(0))).alias(n) for base, n in names.items()],
     )

@@ -83,7 +83,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     taken = spent.withColumn("words", words).drop("spent").unionByName(
         copies.where(F.col("finish") > last).withColumn("words", F.lit(0).cast("long")))
     return taken.groupBy("doc_id", "th", "source", "size", "source_size", "target", "turn", "before").agg(
-        F.collect_list(F.when(F.col("words") > 0, F.struct("copy", "words", "finish"))).alias("takes")).drop("turn", "before")
+        F.collect_list(F.when(F.col("words") > 0, F.struct("copy", "words", "finish"))).alias("takes"),
+        F.count("*").alias("copies")).withColumn(  # equal rows without words meet in one group
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("copies") / max_repeats).cast("long")))).drop("turn", "before", "copies", "row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
