@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import linededup, quality, simhash  # noqa: F401
+from textloom.llm import linededup, mixing, packing, quality, simhash, simple8b  # noqa: F401
 from textloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
