@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-The rows of one text form a group and stay together, unless the group alone would take a
-tenth of a shard: then it is cut into fragments by a hash of the ids.  A group or fragment is
+The rows of one text form a group and stay together, unless the group alone would take
+half of a shard: then it is cut into fragments by a hash of the ids.  A group or fragment is
 a vector of its shares of a shard's bytes, tokens and rows, and goes to the shard where
 the dot product with the residual capacity is highest.
 
@@ -21,8 +21,8 @@ from textloom.llm.common import read_table, running_sums, words_in, written
 from textloom.llm.registry import register
 
 SHARDS = 24
-SPLIT_SHARE = 0.1    # of a shard's capacity: larger groups are cut, so at most 30 a shard
-FRAGMENT_SHARE = 0.02
+SPLIT_SHARE = 0.5    # of a shard's capacity: larger groups are cut; at most 6 a shard can be
+FRAGMENT_SHARE = 0.1
 LARGE_SHARE = 0.005
 RUN_UNITS = 20_000
 ROWS_PER_BUCKET = 20_000
