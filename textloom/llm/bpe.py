@@ -2,20 +2,21 @@
 
 The pre-tokenizer of a byte-level BPE never joins text across a single space
 that stands between two non-space characters, so the space-led chunks between
-such places encode independently.  `Encoder` encodes each distinct chunk once
-(new ones are concatenated and go through the library in one call) and joins
-the stored ids; its store is bounded and simply starts afresh when full, so
-ids never depend on it.  Ids are little-endian unsigned 32-bit.
+such places encode independently.  An `Encoder` has the library encode each distinct
+chunk once and joins the stored ids; a mark behind a letter or digit is a token of its
+own chunk too.  The store is bounded and simply starts afresh when full, so ids never
+depend on it.  Ids are little-endian unsigned 32-bit.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 STORE_ENTRIES = 600_000  # bound of the chunk store (memory only; never changes ids)
-_GLUED = re.compile(r"(?:^|\s) | (?:\s|$)")
+MARKS = ".,;:!?"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -33,53 +34,51 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+class _Glued(Exception):
+    """A chunk that touches more white space than the one space before it."""
+
+
+class _Chunks(dict):
+    """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for."""
+
+    def __init__(self, ids_of: Callable[[str], bytes], lead: str):
+        self.ids_of, self.lead = ids_of, lead
+        self.marks = {m: ids_of(m) for m in MARKS}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Glued
+        mark = self.marks.get(chunk[-1])
+        ids = self[chunk[:-1]] + mark if mark and chunk[-2:-1].isalnum() else self.ids_of(self.lead + chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.tokenizer.model._resize_cache(0)  # `store` holds what repeats; the library's own store only adds work
-        self.store: dict[str, bytes] = {}
+        self.tokenizer.model._resize_cache(0)  # the store below holds what repeats
+        self.first, self.later = _Chunks(self.ids_of, ""), _Chunks(self.ids_of, " ")
+
+    def ids_of(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as packed little-endian uint32."""
-        chunked = []
-        for text in texts:
-            if not text:
-                chunked.append(())
-                continue
-            parts = _SPLIT.split(text) if _GLUED.search(text) else text.split(" ")
-            head = parts[0]
-            chunked.append((head, parts))
-        if len(self.store) > STORE_ENTRIES:
-            self.store = {}
-        store = self.store
-        new = {p for c in chunked if c for p in c[1][1:] if p not in store}
-        if new:
-            self._learn(list(new))
-        heads = [c[0] for c in chunked if c]
-        first = iter(self.tokenizer.encode_batch(heads, add_special_tokens=False) if heads else ())
-        get = store.__getitem__
-        out = []
-        for c in chunked:
-            if not c:
-                out.append(b"")
-                continue
-            lead = np.asarray(next(first).ids, dtype="<u4").tobytes()
-            out.append(lead + b"".join(map(get, c[1][1:])))
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode space-led chunks in one call and cut the ids at the chunk starts."""
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            got = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = np.asarray(got.ids, dtype="<u4")
-            ends = np.cumsum([len(c) + 1 for c in some])
-            begins = np.fromiter((o[0] for o in got.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(begins, ends, side="left")
-            raw, lo = ids.tobytes(), 0
-            for c, hi in zip(some, cuts.tolist()):
-                self.store[c] = raw[4 * lo : 4 * hi]
-                lo = hi
+        return [self._one(text) if text else b"" for text in texts]
+
+    def _one(self, text: str) -> bytes:
+        for chunks in (self.first, self.later):
+            if len(chunks) > STORE_ENTRIES:
+                chunks.clear()
+        try:
+            parts = text.split(" ")
+            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        except _Glued:
+            pass
+        parts = _SPLIT.split(text)
+        rest = [self.ids_of(" " + p) if p[0].isspace() or p[-1].isspace() else self.later[p] for p in parts[1:]]
+        return self.ids_of(parts[0]) + b"".join(rest)

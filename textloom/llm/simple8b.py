@@ -34,9 +34,12 @@ END_ID = 0
 TEXTS_AT_ONCE = 512
 
 
+_SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    if values.size and values.max() < np.uint64(1 << 53):
-        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    if values.size and values.max() < np.uint64(1 << 16):
+        return _SHORT[values]
     return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, side="right").astype(np.uint8)
 
 
@@ -50,7 +53,7 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     grid[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
     grid[full:, : n - full * BLOCK] = values[full * BLOCK :]
     bits = _bit_lengths(grid)
-    chosen = np.zeros((blocks, BLOCK), np.int8)
+    fitting = np.zeros((blocks, BLOCK), np.int8)
     widest = {1: bits}  # by window length, the most bits that a value of the window starting here has
     for count in sorted(set(COUNTS[1:].tolist())):
         if count not in widest:
@@ -60,7 +63,9 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
             shift = count - (bits.shape[1] - rest.shape[1] + 1)
             widest[count] = np.maximum(widest[half][:, :reach], rest[:, shift : shift + reach])
         selector = 14 if count == 1 else int(np.flatnonzero(COUNTS[1:14] == count)[0]) + 1
-        chosen[widest[count][:, :BLOCK] <= WIDTHS[selector]] = selector  # longer windows overwrite shorter ones
+        fitting += widest[count][:, :BLOCK] <= WIDTHS[selector]
+    # a window that fits has all shorter ones fit, so their number is that of the longest one
+    chosen = np.where(fitting > 0, 15 - fitting, 0)
     size = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     steps = COUNTS[chosen]
     at = np.zeros(blocks, np.int64)
@@ -78,12 +83,14 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     row, col = row[order], col[order]
     selector = chosen[row, col]
     words = selector.astype(np.uint64) << np.uint64(60)
+    cells = grid.reshape(-1)
     for s in range(1, 15):
         at_s = np.flatnonzero(selector == s)
         if len(at_s):
-            lanes = np.arange(int(COUNTS[s]))
-            got = grid[row[at_s][:, None], col[at_s][:, None] + lanes]
-            words[at_s] |= np.bitwise_or.reduce(got << (lanes * int(WIDTHS[s])).astype(np.uint64), axis=1)
+            place, word = row[at_s] * (BLOCK + 60) + col[at_s], words[at_s]
+            for lane in range(int(COUNTS[s])):
+                word |= cells[place + lane] << np.uint64(lane * int(WIDTHS[s]))
+            words[at_s] = word
     escaped = np.flatnonzero(selector == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(row, np.arange(blocks)).astype(np.uint64)
@@ -92,26 +99,25 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def decode_blocks(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The `n` values of `encode_blocks`."""
-    out = np.zeros(n, np.uint64)
     if not n:
-        return out
+        return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = COUNTS[selector]
     before = np.cumsum(counts) - counts
-    block = np.searchsorted(offsets, np.arange(len(words), dtype=np.uint64), side="right") - 1
-    start = block * BLOCK + before - before[offsets.astype(np.int64)][block]
-    stop = np.minimum((block + 1) * BLOCK, n)
+    per_block = np.diff(np.append(offsets.astype(np.int64), len(words)))
+    block = np.repeat(np.arange(len(offsets)), per_block)
+    row = BLOCK + 60  # behind each block is room for the zeros that pad its last word
+    out = np.zeros(len(offsets) * row, np.uint64)
+    start = block * row + before - before[offsets.astype(np.int64)][block]
     for s in range(1, 15):
         at = np.flatnonzero(selector == s)
         if len(at):
-            lanes = np.arange(int(COUNTS[s]))
-            value = (words[at][:, None] >> (lanes * int(WIDTHS[s])).astype(np.uint64)) & np.uint64((1 << int(WIDTHS[s])) - 1)
-            place = start[at][:, None] + lanes
-            inside = place < stop[at][:, None]
-            out[place[inside]] = value[inside]
+            word, mask = words[at], np.uint64((1 << int(WIDTHS[s])) - 1)
+            for lane in range(int(COUNTS[s])):
+                out[start[at] + lane] = (word >> np.uint64(lane * int(WIDTHS[s]))) & mask
     at = np.flatnonzero(selector == 0)
     out[start[at]] = escapes[words[at].astype(np.int64)]
-    return out
+    return out.reshape(-1, row)[:, :BLOCK].reshape(-1)[:n]
 
 
 def frame_bytes(doc_ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
