@@ -11,11 +11,12 @@ depend on it.  Ids are little-endian unsigned 32-bit.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
-STORE_ENTRIES = 600_000  # bound of the chunk store (memory only; never changes ids)
+STORE_ENTRIES = 1_500_000  # bound of the chunk store, about 300 MB; never changes ids
 MARKS = ".,;:!?"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -34,6 +35,16 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself if printable, else one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Glued(Exception):
     """A chunk that touches more white space than the one space before it."""
 
@@ -61,9 +72,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.tokenizer.model._resize_cache(0)  # the store below holds what repeats
+        self.model = self.tokenizer.model
         self.first, self.later = _Chunks(self.ids_of, ""), _Chunks(self.ids_of, " ")
 
     def ids_of(self, text: str) -> bytes:
+        if text.lstrip(" ").isalpha() and not text.startswith("  "):  # letters are one unit to the pre-tokenizer
+            units = self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
+            return struct.pack(f"<{len(units)}I", *[u.id for u in units])
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
