@@ -3,15 +3,15 @@
 Fixed patterns give the seed entities (e-mail, IP, card, phone); the two words before an entity
 are a lexical pattern.  Other tokens that look like identifiers are candidate instances, and
 numbers that fail a card's or address's check are counter-examples.  Each is tied to the
-patterns it stands in, and equal strings are one instance across the corpus.  Spark scores this graph in rounds: a pattern's
-confidence is the mean score of its instances, a candidate's score the best confidence of its
-patterns.  Candidates whose instance passes
-the threshold are added as spans of the pattern's kind.  Seeds keep score 1 and always stay.
+patterns it stands in, and equal strings are one instance across the corpus.
+
+Spark scores this graph in rounds: a pattern's confidence is the mean score of its instances, a
+candidate's score the best confidence of its patterns.  Candidates that pass the threshold
+are added as spans of the pattern's kind.  Seeds keep score 1 and always stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,7 +34,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_MARK = re.compile(r"[0-9@]")
+_SPACE = frozenset(" \t\n\x0b\x0c\r")
 _STRIP = ".,;:!?\"'()[]{}<>"
 
 
@@ -105,16 +106,20 @@ def occurrences(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base, failed = checked_spans(text)
     out = [(s, e, k, _before(text, s), text[s:e].lower()) for s, k, e in base]
     taken = sorted([(s, e, True) for s, _, e in base] + [(s, e, False) for s, e in failed])
-    at = 0
-    for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        start = m.start() + len(token) - len(token.lstrip(_STRIP))
-        end = m.end() - (len(token) - len(token.rstrip(_STRIP)))
-        while at < len(taken) and taken[at][1] <= m.start():
+    at = end = 0
+    while mark := _MARK.search(text, end):
+        start, begin = mark.start(), end
+        while start > begin and text[start - 1] not in _SPACE:
+            start -= 1
+        end = _TOKEN.match(text, start).end()
+        token, after = text[start:end], end
+        while at < len(taken) and taken[at][1] <= start:
             at += 1
+        start, end = end - len(token.lstrip(_STRIP)), start + len(token.rstrip(_STRIP))
         hit = [good for s, e, good in taken[at : at + 4] if s < end and start < e]
         if end - start >= MIN_LENGTH and True not in hit:
             out.append((start, end, -2 if hit else -1, _before(text, start), text[start:end].lower()))
+        end = after
     return base, out
 
 
