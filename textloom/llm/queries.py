@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import linededup, mixing, packing, pii, quality, sharding, simhash, simple8b  # noqa: F401
+from textloom.llm import embeddings, linededup, mixing, packing, pii, quality, sharding, simhash, simple8b, toolcalls  # noqa: F401
 from textloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
