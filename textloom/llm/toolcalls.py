@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from textloom.llm.common import read_table, running_sums, written
 from textloom.llm.registry import register
 
-MAX_ROUNDS = 100
 MESSAGES_PER_RUN = 4096
 
 #: Tools known to the query; any mapping of the same form can be given.
@@ -159,7 +158,7 @@ def format_chats(turns: DataFrame, schemas: dict | None = None, conv_col: str =
     none = F.array().cast("array<string>")
     errors = F.concat("errors", F.coalesce("open", none),
                       F.when(F.col("answers").isNotNull() & F.col("has_call").isNull(), F.array(F.concat("answers", F.lit(": no call")))).otherwise(none),
-                      F.when("in_cycle", F.array(F.lit("dependency cycle"))).otherwise(none))
+                      F.when(F.col("in_cycle"), F.array(F.lit("dependency cycle"))).otherwise(none))
     full = joined.select("conv_id", "turn", "json", "at", F.size("calls").cast("long").alias("n_calls"),
                          F.when(F.col("answers").isNotNull(), F.coalesce("has_call", F.lit(0))).otherwise(F.coalesce("linked", F.lit(0))).cast("long").alias("linked"),
                          errors.alias("errors"), F.lit(1).cast("long").alias("one"))
@@ -169,28 +168,23 @@ def format_chats(turns: DataFrame, schemas: dict | None = None, conv_col: str =
 
 
 def _settle(places: DataFrame, before: DataFrame) -> tuple[DataFrame, dict]:
-    """Move every message behind those it depends on, round by round until nothing moves; what still
-    moves after as many rounds as there can be are cycles, which keep their own turns."""
-    first = places
-    for _ in range(MAX_ROUNDS):
-        e = before.select(F.col("conv_id").alias("c"), "later", "earlier")
-        behind = e.join(places, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("earlier") == F.col("turn"))).groupBy("c", "later").agg(
+    """Place messages level by level, each behind those it depends on.  Messages of a cycle, and what
+    depends on one, never get ready; they keep their own turns and are returned as looped."""
+    edges = before
+    while edges.limit(1).count():
+        waiting = edges.select(F.struct("conv_id", "later").alias("w")).distinct()
+        blocked = edges.join(waiting, F.col("conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("earlier") == F.col("w.later")), "left_semi").select(
+            F.struct("conv_id", "later").alias("b")).distinct()
+        ready = written(edges.join(blocked, F.col("conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("later") == F.col("b.later")), "left_anti"), "tool-ready")
+        if not ready.limit(1).count():
+            return places, {"looped": edges.select("conv_id", F.col("later").alias("turn")).distinct()}
+        behind = ready.withColumnRenamed("conv_id", "c").join(places, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("earlier") == F.col("turn"))).groupBy("c", "later").agg(
             F.max(F.struct(F.col("at.t").alias("t"), (F.col("at.d") + 1).alias("d"))).alias("least"))
-        new = places.join(behind, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("later")), "left").select(
-            "conv_id", "turn", F.when(F.col("least").isNull() | (F.col("at") >= F.col("least")), F.col("at")).otherwise(F.col("least")).alias("at"),
-            (F.col("least").isNotNull() & (F.col("at") < F.col("least"))).alias("moved"))
-        new = written(new, "tool-places")
-        places = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return places, {}
-    looped = new.where("moved").select("conv_id", "turn")
-    mark = looped.select(F.struct("*").alias("s"))
-    kept = first.join(mark, F.col("conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("turn").eqNullSafe(F.col("s.turn")), "left").select(
-        "conv_id", "turn", "at", F.col("s").isNotNull().alias("loop"))
-    k = kept.select(F.struct("*").alias("k"))
-    places = places.join(k, F.col("conv_id").eqNullSafe(F.col("k.conv_id")) & F.col("turn").eqNullSafe(F.col("k.turn"))).select(
-        "conv_id", "turn", F.when(F.col("k.loop"), F.col("k.at")).otherwise(F.col("at")).alias("at"))
-    return places, {"looped": looped}
+        places = written(places.join(behind, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("later")), "left").select(
+            "conv_id", "turn", F.greatest("at", "least").alias("at")), "tool-places")
+        done = ready.select(F.struct("conv_id", "later").alias("r")).distinct()
+        edges = written(edges.join(done, F.col("conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("later") == F.col("r.later")), "left_anti"), "tool-order")
+    return places, {}
 
 
 SQL = """
