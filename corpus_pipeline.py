@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import read_table, scratch
+from textloom.llm.common import fresh, read_table, scratch
 from textloom.llm.linededup import dedup_lines
 from textloom.llm.mixing import mix
 from textloom.llm.packing import pack_documents
@@ -34,8 +34,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     groups = simhash_groups(docs)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(firsts, docs.doc_id == F.col("kept_id"), "left_semi")
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    mark = firsts.select(F.struct("*").alias(fresh(docs, "kept")))
+    kept = mark.columns[0]
+    found = docs.join(mark, docs.doc_id.eqNullSafe(F.col(f"{kept}.kept_id")))
+    once = found.where(F.col(f"{kept}.kept_rows") == 1).select(docs.columns)
+    # rows that repeat an id are few and only they are compared again
+    again = found.where(F.col(f"{kept}.kept_rows") > 1).select(docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(again)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
