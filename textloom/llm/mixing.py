@@ -19,7 +19,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 42
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE,
