@@ -47,10 +47,15 @@ def test_basic_tokenizer(spark):
     assert _basic(spark, "") == []
 
 
-def test_greedy_pieces():
-    assert SW.greedy_pieces("unaffable", {"un", "##aff", "##able"}) == ["un", "##aff", "##able"]
-    assert SW.greedy_pieces("unx", {"un"}) == ["[UNK]"]
-    assert SW.greedy_pieces("a" * 101, {"a", "##a"}) == ["[UNK]"]
+def test_wordpiece_cases(spark):
+    entries = ["un", "##aff", "##able", "a", "##a", "ab", "##b", "##bc", "日"]
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(entries)], "token string, id long")
+    cases = {"unaffable": ["un", "##aff", "##able"], "unx": ["[UNK]"], "a" * 100: ["a"] + ["##a"] * 99, "a" * 101: ["[UNK]"],
+             "abc": ["[UNK]"], "aabc": ["a", "##a", "##bc"], "日a": ["日", "##a"], "": [], "##a": ["##a"], "😀": ["[UNK]"]}
+    words = spark.createDataFrame([(w,) for w in cases], "word string")
+    assert {r["word"]: r["pieces"] for r in SW.wordpiece_table(words, vocab).collect()} == cases
+    none = spark.createDataFrame([], "token string, id long")
+    assert {tuple(r["pieces"]) for r in SW.wordpiece_table(words.where("word <> ''"), none).collect()} == {("[UNK]",)}
 
 
 def test_wordpiece_join_back(spark):
@@ -60,23 +65,23 @@ def test_wordpiece_join_back(spark):
     assert out == {1: ["un", "##aff", "##able", "[UNK]", "un"], 2: []}
 
 
-def _loop_truncate(a, b, m):
-    while a + b > m:
-        if a > b:
-            a -= 1
-        else:
-            b -= 1
-    return a, b
-
-
 def test_pair_truncation_closed_form(spark):
     rows = [(a, b, m) for a in range(40) for b in range(40) for m in range(25)]
     df = spark.createDataFrame(rows, "a int, b int, m int")
     ta, tb = truncate_pair(F.col("a"), F.col("b"), F.col("m"))
     got = {(r["a"], r["b"], r["m"]): (r["x"], r["y"]) for r in df.select("a", "b", "m", ta.alias("x"), tb.alias("y")).collect()}
-    for (a, b, m), v in got.items():
-        assert v == _loop_truncate(a, b, m), (a, b, m)
-    assert got[(10, 2, 8)] == (6, 2) and got[(5, 5, 7)] == (4, 3)
+    for (a, b, m), (x, y) in got.items():
+        if a + b <= m:
+            assert (x, y) == (a, b)
+            continue
+        assert x + y == m and 0 <= x <= a and 0 <= y <= b, (a, b, m)
+        if x < a and y < b:
+            assert x - y in (0, 1), (a, b, m)  # of equal lengths the second loses first
+        elif x < a:
+            assert x >= y, (a, b, m)  # only the longer side loses
+        else:
+            assert y >= x - 1, (a, b, m)
+    assert got[(10, 2, 8)] == (6, 2) and got[(5, 5, 7)] == (4, 3) and got[(3, 9, 7)] == (3, 4)
 
 
 def test_encode_fixed_and_empty(spark):
@@ -148,38 +153,20 @@ def test_exact_rank_matches_row_number(spark):
     assert got2 == want2
 
 
-class _Stopper:
-    """Plain-Python statement of the stopping rule, for cross-checking."""
-
-    def __init__(self, mode, min_delta, patience, percentage):
-        self.mode, self.d, self.p, self.pct = mode, min_delta, patience, percentage
-        self.best, self.bad = None, 0
-
-    def better(self, a, b):
-        d = b * self.d / 100 if self.pct else self.d
-        return a < b - d if self.mode == "min" else a > b + d
-
-    def step(self, m):
-        if self.p == 0:
-            return False
-        if self.best is None:
-            self.best = m
-            return False
-        if math.isnan(m):
-            return True
-        if self.better(m, self.best):
-            self.bad, self.best = 0, m
-        else:
-            self.bad += 1
-        return self.bad >= self.p
-
-
-def _python_stop(series, mode, patience, min_delta=0.0, pct=False):
-    s = _Stopper(mode, min_delta, patience, pct)
-    for e, m in enumerate(series):
-        if s.step(m):
-            return e, s.best
-    return None, s.best
+def _check_stop(row, series, mode, patience, delta, pct):
+    """What the rule says about its own result: the best value is one of the series, nothing between it and
+    the stop beats it by the margin, and the stop comes exactly when patience has run out or at a NaN."""
+    stop, at, best = row["stop_epoch"], row["best_epoch"], row["best_metric"]
+    end = len(series) - 1 if stop is None else stop
+    assert at <= end and (series[at] == best or math.isnan(series[at]))
+    margin = best * delta / 100 if pct else delta
+    beats = (lambda m: m < best - margin) if mode == "min" else (lambda m: m > best + margin)
+    assert not any(beats(m) for m in series[at + 1 : end + 1])
+    if stop is None:
+        assert end - at < patience and not any(math.isnan(m) for m in series[1 : end + 1])
+    else:
+        assert stop - at == patience or math.isnan(series[stop])
+        assert not any(math.isnan(m) for m in series[1:stop])
 
 
 def _hist_df(spark, runs):
@@ -187,34 +174,42 @@ def _hist_df(spark, runs):
     return spark.createDataFrame(rows, "run long, epoch long, metric double")
 
 
-def test_early_stop_hand_case(spark):
-    df = _hist_df(spark, {1: [5, 4, 4.5, 4.2, 3.9, 4, 4, 4]})
-    r = H.early_stop(df, "min", patience=3).first()
-    assert r["stop_epoch"] == 7 and r["best_metric"] == pytest.approx(3.9) and r["best_epoch"] == 4
-    r = H.early_stop(df, "min", patience=3, min_delta=0.05).first()
-    assert r["stop_epoch"] == _python_stop([5, 4, 4.5, 4.2, 3.9, 4, 4, 4], "min", 3, 0.05)[0]
+# series, mode, patience, delta, percent -> stop, best epoch, best value; worked by hand
+STOP_CASES = [
+    ([5, 4, 4.5, 4.2, 3.9, 4, 4, 4], "min", 3, 0.0, False, 7, 4, 3.9),
+    ([5, 4, 4.5, 4.2, 3.9, 4, 4, 4], "min", 3, 0.05, False, 7, 4, 3.9),
+    ([5, 4, 4.5, 4.2, 3.9, 4, 4, 4], "min", 3, 0.2, False, 4, 1, 4.0),
+    ([2.6, 2.34, 2.34], "min", 2, 10.0, True, 2, 0, 2.6),
+    ([1, 1.05, 1.2, 1.2], "max", 2, 10.0, True, None, 2, 1.2),
+    ([-1, -1.05, -2], "min", 2, 10.0, True, None, 2, -2.0),
+    ([3, 2, float("nan"), 1], "min", 4, 0.0, False, 2, 1, 2.0),
+    ([3, 2, float("nan"), 1], "min", 4, 0.5, False, 2, 1, 2.0),
+    ([7], "max", 1, 0.0, False, None, 0, 7.0),
+]
+
+
+def test_early_stop_worked_cases(spark):
+    for series, mode, patience, delta, pct, stop, at, best in STOP_CASES:
+        r = H.early_stop(_hist_df(spark, {1: series}), mode, patience, delta, pct).first()
+        assert (r["stop_epoch"], r["best_epoch"], r["best_metric"]) == (stop, at, best), (series, mode, delta)
     with pytest.raises(ValueError):
-        H.early_stop(df, "median", patience=3)
+        H.early_stop(_hist_df(spark, {1: [1]}), "median", patience=3)
 
 
-@pytest.mark.parametrize("mode,delta,pct", [("min", 0.0, False), ("max", 0.0, False), ("min", 0.3, False), ("max", 5.0, True)])
-def test_early_stop_random_vs_python(spark, mode, delta, pct):
+def test_early_stop_without_patience_records_nothing(spark):
+    df = _hist_df(spark, {1: [5, 3, 4]})
+    for delta in (0.0, 0.1):
+        r = H.early_stop(df, "min", 0, delta).first()
+        assert (r["n_epochs"], r["stop_epoch"], r["best_epoch"], r["best_metric"]) == (3, None, None, None)
+
+
+@pytest.mark.parametrize("mode,delta,pct", [("min", 0.0, False), ("max", 0.0, False), ("min", 0.3, False), ("max", 5.0, True), ("min", 10.0, True)])
+def test_early_stop_result_keeps_the_rule(spark, mode, delta, pct):
     rnd = random.Random(11)
-    runs = {}
-    for r in range(40):
-        n = rnd.randint(1, 30)
-        runs[r] = [round(rnd.uniform(0, 10), 1) for _ in range(n)]
-    runs[99] = [float("nan"), 1.0, 0.5, 0.2, 0.1]
+    runs = {r: [round(rnd.uniform(-3 if r % 4 == 0 else 0, 10), 1) for _ in range(rnd.randint(1, 30))] for r in range(40)}
     runs[98] = [3.0, 2.0, float("nan"), 1.0]
-    df = _hist_df(spark, runs)
-    got = {r["run"]: r for r in H.early_stop(df, mode, 4, delta, pct).collect()}
-    for run, series in runs.items():
-        stop, best = _python_stop(series, mode, 4, delta, pct)
-        assert got[run]["stop_epoch"] == stop, (run, series)
-        if isinstance(best, float) and math.isnan(best):
-            assert math.isnan(got[run]["best_metric"])
-        else:
-            assert got[run]["best_metric"] == pytest.approx(best), (run, series)
+    for r in H.early_stop(_hist_df(spark, runs), mode, 4, delta, pct).collect():
+        _check_stop(r, runs[r["run"]], mode, 4, delta, pct)
 
 
 def test_best_checkpoint_earliest_tie(spark):
@@ -277,15 +272,43 @@ def test_next_turn_by_rank_join_equals_lead(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("mode", ["min", "max"])
-def test_early_stop_percent_with_negative_runs(spark, mode):
-    """Runs with a negative metric take the sequential fold, the rest the parallel form."""
-    rnd = random.Random(17)
-    runs = {r: [round(rnd.uniform(-5, 10) if r % 3 == 0 else rnd.uniform(0, 10), 1) for _ in range(rnd.randint(1, 25))]
-            for r in range(30)}
-    df = _hist_df(spark, runs)
-    got = {r["run"]: r for r in H.early_stop(df, mode, 3, 10.0, True).collect()}
-    for run, series in runs.items():
-        stop, best = _python_stop(series, mode, 3, 10.0, True)
-        assert got[run]["stop_epoch"] == stop, (run, series)
-        assert got[run]["best_metric"] == pytest.approx(best), (run, series)
+def test_readers_report_what_does_not_fit(spark, tmp_path):
+    from textloom.sources import files
+
+    schema = "id string, t string, v int"
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(schema)
+    rows = [("1", "", 2), ("2", None, 3), ("3", 'a "q", \n b', None)]
+    path = str(tmp_path / "ok.csv")
+    files.write_csv(spark.createDataFrame(rows, schema), path)
+    assert sorted(files.read_csv(spark, path, schema).collect()) == sorted(spark.createDataFrame(rows, schema).collect())
+    for name, text in {"order": "t,id,v\na,1,2\n", "number": "id,t,v\n1,a,xx\n"}.items():
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception):
+            files.read_csv(spark, str(tmp_path / name), schema).collect()
+    good = tmp_path / "v.vec"
+    good.write_text("2 2\nabc 1 2 \nd -1 0.5\n")
+    assert {r["token"]: list(r["vec"]) for r in files.read_vectors(spark, str(good), 2).collect()} == {"abc": [1.0, 2.0], "d": [-1.0, 0.5]}
+    bad = tmp_path / "bad.vec"
+    bad.write_text("2 2\nabc 1 2\nd 1\n")
+    with pytest.raises(Exception, match="no 2 numbers"):
+        files.read_vectors(spark, str(bad), 2).collect()
+    one = tmp_path / "one.vec"
+    one.write_text("2 1\na 3\nb 4\n")
+    assert files.read_vectors(spark, str(one), 1).count() == 2
+
+
+def test_accents_equal_the_unicode_rule(spark):
+    import unicodedata
+
+    from textloom.functions.accents import strip_accents
+
+    rnd = random.Random(3)
+    pool = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x345), *range(0x1E00, 0x1F00), 0xAC00, 0xD7A3, 0xFB2A, 0x1D15E, 0x0DDA, 0x212B, 0x1F600]]
+    texts = [None, "", "plain"] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", strip_accents("t").alias("s"))
+    for r in df.collect():
+        t = texts[r["i"]]
+        want = t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        assert r["s"] == want, repr(t)

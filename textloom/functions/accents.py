@@ -1,34 +1,53 @@
 """T07 accent stripping: Unicode NFD, then drop combining marks (category Mn).
 
-Spark SQL has no Unicode normaliser, so this is the one Arrow-batched pandas
-UDF of the text path.  It works on a whole space-joined token string per row
-(no explode / regroup shuffle) and returns pure-ASCII rows untouched.
+Spark SQL has no Unicode normaliser.  Nearly all letters decompose into one letter and
+marks, so a table made from the Unicode data of Python's library turns the step into one
+JVM `translate`.  Letters that decompose into several others (Hangul syllables, a few
+vowel signs) need the real thing: only texts that hold one go through an Arrow UDF.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-try:  # the `regex` package knows \p{Mn}; fall back to a per-character filter
-    import regex as _regex
-
-    _MN = _regex.compile(r"\p{Mn}+")
-except ImportError:  # pragma: no cover
-    _MN = None
-
 
 def strip_accents_py(s: str | None) -> str | None:
     if s is None or s.isascii():
         return s
-    nfd = unicodedata.normalize("NFD", s)
-    if _MN is not None:
-        return _MN.sub("", nfd)
-    return "".join(ch for ch in nfd if unicodedata.category(ch) != "Mn")
+    return "".join(ch for ch in unicodedata.normalize("NFD", s) if unicodedata.category(ch) != "Mn")
+
+
+@cache
+def _tables() -> tuple[str, str, str]:
+    """(letters to replace or drop, their replacements, pattern of letters that give several)."""
+    one, to, none, several = [], [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        ch = chr(code)
+        bare = strip_accents_py(ch)
+        if bare == ch:
+            continue
+        if len(bare) == 1:
+            one.append(ch), to.append(bare)
+        elif not bare:
+            none.append(ch)
+        else:
+            several.append(code)
+    runs: list[list[int]] = []
+    for code in several:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    pattern = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+    return "".join(one + none), "".join(to), pattern
 
 
 @F.pandas_udf(Ty.StringType())
@@ -37,9 +56,11 @@ def _strip_accents_udf(s: pd.Series) -> pd.Series:
 
 
 def strip_accents(text) -> Column:
-    """NFD + drop Mn, evaluated in Arrow batches."""
+    """NFD + drop Mn."""
     c = F.col(text) if isinstance(text, str) else text
-    return _strip_accents_udf(c)
+    from_, to, several = _tables()
+    hard = c.rlike(several)
+    return F.when(hard, _strip_accents_udf(F.when(hard, c))).otherwise(F.translate(c, from_, to))
 
 
 def strip_accents_tokens(tokens) -> Column:

@@ -6,7 +6,7 @@ Early stopping follows the stopping rule: the first value is the best and
 never stops; a NaN stops at once; a value strictly better than best by more
 than `min_delta` (absolute, or percent of best) resets the bad-epoch count
 and becomes the best; otherwise the count grows, and the run stops when it
-reaches `patience` (patience 0 never stops).
+reaches `patience` (patience 0 switches the rule off: no best, no stop).
 
 With `min_delta == 0` "better" means "a new strict running minimum" (maximum
 in max mode), so the rule has a parallel form: running min / max scans over
@@ -37,7 +37,7 @@ def best_checkpoint(hist: DataFrame, run: str = "run", epoch: str = "epoch", met
 
 def _check_mode(mode: str) -> None:
     if mode not in ("min", "max"):
-        raise ValueError(f"mode {mode} is unknown!")
+        raise ValueError(f"mode must be 'min' or 'max', not {mode!r}")
 
 
 def early_stop(hist: DataFrame, mode: str, patience: int = 10, min_delta: float = 0.0, percentage: bool = False,
@@ -45,19 +45,14 @@ def early_stop(hist: DataFrame, mode: str, patience: int = 10, min_delta: float
     """`(run, n_epochs, stop_epoch, best_epoch, best_metric)`; stop_epoch is null when
     the run never stops."""
     _check_mode(mode)
+    if patience == 0:
+        # the rule is off: nothing is recorded and nothing stops
+        return hist.groupBy(run).agg(F.count(F.lit(1)).alias("n_epochs")).select(
+            run, "n_epochs", F.lit(None).cast("long").alias("stop_epoch"),
+            F.lit(None).cast("long").alias("best_epoch"), F.lit(None).cast("double").alias("best_metric"))
     if min_delta == 0:
         return _early_stop_scan(hist, mode, patience, run, epoch, metric)
-    if patience == 0 or min_delta < 0:
-        return _early_stop_fold(hist, mode, patience, min_delta, percentage, run, epoch, metric)
-    if not percentage:
-        return _early_stop_jump(hist, mode, patience, min_delta, percentage, run, epoch, metric)
-    # percent thresholds stay below the best only for non-negative metrics: such runs take
-    # the parallel form, any run holding a negative metric takes the fold
-    neg = hist.groupBy(run).agg(F.max((F.col(metric) < 0).cast("int")).alias("__neg"))
-    ok = hist.join(neg.where("__neg = 0").select(run), run, "left_semi")
-    other = hist.join(neg.where("__neg = 1").select(run), run, "left_semi")
-    return _early_stop_jump(ok, mode, patience, min_delta, percentage, run, epoch, metric).unionByName(
-        _early_stop_fold(other, mode, patience, min_delta, percentage, run, epoch, metric))
+    return _early_stop_fold(hist, mode, patience, min_delta, percentage, run, epoch, metric)
 
 
 def _early_stop_scan(hist, mode, patience, run, epoch, metric) -> DataFrame:
@@ -78,10 +73,7 @@ def _early_stop_scan(hist, mode, patience, run, epoch, metric) -> DataFrame:
     improved = (F.col("epoch") == 0) | (~F.col("__m0nan") & (F.col("__cm.e") == F.col("epoch")))
     h = h.withColumn("__imp", F.when(improved, F.col("epoch")))
     h = running_sum(h, bucket, ["epoch"], F.col("__imp"), "__last", partition=["run"], how="max")
-    if patience == 0:
-        stop = F.lit(False)
-    else:
-        stop = (F.col("epoch") >= 1) & (F.isnan("metric") | (F.col("epoch") - F.col("__last") >= patience))
+    stop = (F.col("epoch") >= 1) & (F.isnan("metric") | (F.col("epoch") - F.col("__last") >= patience))
     best_val = F.when(F.col("__m0nan"), F.lit(float("nan"))).otherwise(F.col("__cm.m") * F.lit(sign))
     h = h.withColumn("__stop", stop).withColumn("__best", best_val)
     per_run = h.groupBy("run").agg(
@@ -131,83 +123,8 @@ def _early_stop_fold(hist, mode, patience, min_delta, percentage, run, epoch, me
                                 F.when(bad1 >= patience, xs_e).cast("long").alias("stop")))
         )
 
-    if patience == 0:
-        # the rule never stops; "better" is always true, so the last epoch is the best
-        last = F.element_at("__xs", -1)
-        return series.select(run, "n_epochs", F.lit(None).cast("long").alias("stop_epoch"),
-                             last["e"].cast("long").alias("best_epoch"), last["m"].alias("best_metric"))
     folded = series.select(run, "n_epochs", F.aggregate("__xs", init, step).alias("__f"))
     return folded.select(
         run, "n_epochs", F.col("__f.stop").alias("stop_epoch"),
         F.col("__f.best_epoch").cast("long").alias("best_epoch"), F.col("__f.best").alias("best_metric"),
     )
-
-
-def _threshold(b, mode: str, min_delta: float, percentage: bool):
-    """Improvement threshold in min-oriented values (max mode uses negated metrics)."""
-    if not percentage:
-        return b - F.lit(float(min_delta))
-    p = float(min_delta) / 100.0
-    return b * F.lit(1.0 - p) if mode == "min" else b * F.lit(1.0 + p)
-
-
-def _early_stop_jump(hist, mode, patience, min_delta, percentage, run, epoch, metric) -> DataFrame:
-    """Parallel form of the stopping rule for min_delta > 0, valid when the threshold never
-    exceeds the best (absolute delta >= 0, or percent delta with non-negative metrics).
-
-    Then every improvement is a strict running minimum (a record), and the improvement
-    after record r is the record with the largest value below thr(v_r) -- an as-of
-    lookup done as one bucketed running max over records and thresholds sorted by value.
-    The chain from epoch 0 to its first "bad" record (next improvement further than
-    `patience` away, or none) is found by pointer jumping: log2(records per run) rounds
-    of equi-joins on (run, epoch), each checkpointed.  No run is ever one task.
-    """
-    from textloom.operators.rank import with_quantile_bucket
-    from textloom.session import materialize
-
-    sign = 1.0 if mode == "min" else -1.0
-    h = hist.select(F.col(run).alias("run"), F.col(epoch).alias("epoch"), F.col(metric).alias("metric"),
-                    (F.col(metric) * F.lit(sign)).alias("__m"))
-    per = materialize(h.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n_epochs"),
-        F.max("epoch").alias("__last"),
-        F.min(F.when((F.col("epoch") >= 1) & F.isnan("metric"), F.col("epoch"))).alias("__f"),
-        F.max(F.when(F.col("epoch") == 0, F.isnan("metric").cast("int"))).alias("__m0nan"),
-    ))
-    bucket = F.floor(F.col("epoch") / F.lit(EPOCH_BUCKET))
-    key = F.when(~F.isnan("__m"), F.struct(F.col("__m").alias("m"), F.col("epoch").alias("e")))
-    h = running_sum(h, bucket, ["epoch"], key, "__cm", partition=["run"], how="min")
-    recs = h.where((F.col("epoch") == 0) | (F.col("__cm.e") == F.col("epoch"))).select("run", "epoch", F.col("__m").alias("v"))
-    # records after the first NaN epoch never matter: the run stops at that NaN
-    recs = recs.join(per.select("run", "__f", "__m0nan"), "run")
-    recs = materialize(recs.where(F.col("__f").isNull() | (F.col("epoch") < F.col("__f"))))
-
-    # as-of: for each record, the record with the largest value strictly below its threshold
-    queries = recs.select("run", _threshold(F.col("v"), mode, min_delta, percentage).alias("__k"), F.lit(0).alias("__kind"),
-                          F.col("epoch").alias("__e"), F.lit(None).cast("struct<v:double,e:long>").alias("__rec"))
-    points = recs.select("run", F.col("v").alias("__k"), F.lit(1).alias("__kind"), F.col("epoch").alias("__e"),
-                         F.struct(F.col("v").alias("v"), F.col("epoch").cast("long").alias("e")).alias("__rec"))
-    items, _ = with_quantile_bucket(queries.unionByName(points), "__k", "__qb")
-    items = running_sum(items, F.col("__qb"), ["__k", "__kind", "__e"], F.col("__rec"), "__below",
-                        partition=["run"], how="max")
-    nxt = items.where(F.col("__kind") == 0).select("run", F.col("__e").alias("epoch"), F.col("__below.e").alias("__nxt"))
-    ptr = recs.join(nxt, ["run", "epoch"]).withColumn(
-        "__nxt", F.when(F.col("__m0nan") == 1, F.lit(None).cast("long")).otherwise(F.col("__nxt")))
-    bad = F.col("__nxt").isNull() | (F.col("__nxt") - F.col("epoch") > F.lit(patience))
-    ptr = materialize(ptr.select("run", "epoch", F.when(bad, F.col("epoch")).otherwise(F.col("__nxt")).alias("__j")))
-
-    longest = ptr.groupBy("run").count().agg(F.max("count")).first()[0] or 1  # one scalar
-    rounds = max(1, int(longest).bit_length() + 1)
-    for _ in range(rounds):
-        hop = ptr.select("run", F.col("epoch").alias("__j"), F.col("__j").alias("__jj"))
-        ptr = materialize(ptr.join(hop, ["run", "__j"]).select("run", "epoch", F.col("__jj").alias("__j")))
-    rstar = ptr.where(F.col("epoch") == 0).select("run", F.col("__j").alias("best_epoch"))
-    at = recs.select("run", F.col("epoch").alias("best_epoch"), F.col("v"))
-    res = per.join(rstar, "run").join(at, ["run", "best_epoch"])
-    s = F.col("best_epoch") + F.lit(patience)
-    stop = F.least(F.col("__f"), F.when(s <= F.col("__last"), s))
-    best = F.when(F.col("__m0nan") == 1, F.lit(float("nan"))).otherwise(F.col("v") * F.lit(sign))
-    return res.select(
-        F.col("run").alias(run), "n_epochs", stop.cast("long").alias("stop_epoch"),
-        F.col("best_epoch").cast("long").alias("best_epoch"), best.alias("best_metric"),
-    )

@@ -71,7 +71,7 @@ def auc(long: DataFrame, group: Sequence[str] = ("label",), score: str = "score"
         F.sum("hit").alias("__hit"),
     )
     p, n = F.col("positives"), F.col("negatives")
-    value = F.when((p == 0) | (n == 0), F.col("__hit") / (p + n)).otherwise(F.col("__s") / (p * n))
+    value = F.when((p == 0) | (n == 0), F.col("__hit") / (p + n)).otherwise(F.col("__s") / (p.cast("double") * n.cast("double")))
     return per.select(*group, value.alias("auc"), p.cast("long").alias("positives"), n.cast("long").alias("negatives"))
 
 
@@ -143,8 +143,8 @@ def roc_curve(long: DataFrame, group: Sequence[str] = ("label",), score: str = "
         F.col(score).alias("threshold"),
         F.col("tps").cast("long").alias("tps"),
         F.col("fps").cast("long").alias("fps"),
-        (F.col("fps") / F.col("N")).alias("fpr"),
-        (F.col("tps") / F.col("P")).alias("tpr"),
+        F.try_divide("fps", "N").alias("fpr"),
+        F.try_divide("tps", "P").alias("tpr"),
     )
 
 

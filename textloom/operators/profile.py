@@ -32,8 +32,8 @@ def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | No
         "label",
         F.col("positives").cast("long").alias("positives"),
         (F.col("__n") - F.col("positives")).cast("long").alias("negatives"),
-        F.round(F.lit(100.0) * F.col("positives") / denom, 6).alias("pct"),
-        F.round(F.col("positives") / (F.col("__n") - F.col("positives")), 6).alias("pos_neg_ratio"),
+        F.round(F.try_divide(F.lit(100.0) * F.col("positives"), denom), 6).alias("pct"),
+        F.round(F.try_divide(F.col("positives"), F.col("__n") - F.col("positives")), 6).alias("pos_neg_ratio"),
     )
 
 

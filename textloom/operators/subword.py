@@ -1,17 +1,15 @@
 """Basic tokenizer (T05-T11) and greedy WordPiece.
 
-The basic tokenizer is JVM expressions plus one Arrow UDF for accents.
-WordPiece is greedy longest-match-first, which has no relational form; it runs
-in a pandas UDF over the *distinct* words only (each word once, not every
-occurrence), and the pieces are joined back to the token positions.
+The basic tokenizer is JVM expressions (an Arrow UDF sees only texts with letters
+that decompose into several).  WordPiece works on the *distinct* words: their
+stretches are joined with the vocabulary table, the longest hits are chained, and
+the pieces are joined back to the token positions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from textloom.functions import text as T
 from textloom.functions.accents import strip_accents
@@ -22,10 +20,6 @@ UNK_TOKEN = "[UNK]"
 MAX_INPUT_CHARS_PER_WORD = 100
 CONTINUATION = "##"
 
-# A sub-word vocabulary is collected to the executors as a set; above this
-# many entries the job refuses instead of silently growing driver memory.
-MAX_PIECE_VOCAB = 5_000_000
-
 
 def basic_tokenize(df: DataFrame, text: str, out: str, do_lower_case: bool = True) -> DataFrame:
     """Clean -> CJK spacing -> split -> (lower, strip accents) -> punctuation split,
@@ -36,54 +30,44 @@ def basic_tokenize(df: DataFrame, text: str, out: str, do_lower_case: bool = Tru
     return df.withColumn(out, T.basic_finish(c))
 
 
-def greedy_pieces(word: str, vocab, unk: str = UNK_TOKEN, max_chars: int = MAX_INPUT_CHARS_PER_WORD) -> list[str]:
-    """Greedy longest-match-first split of one word; whole word -> unk if any part fails."""
-    if len(word) > max_chars:
-        return [unk]
-    pieces = []
-    start, n = 0, len(word)
-    while start < n:
-        end = n
-        found = None
-        while start < end:
-            cand = word[start:end] if start == 0 else CONTINUATION + word[start:end]
-            if cand in vocab:
-                found = cand
-                break
-            end -= 1
-        if found is None:
-            return [unk]
-        pieces.append(found)
-        start = end
-    return pieces
-
-
-def _vocab_set(vocab: DataFrame) -> frozenset:
-    """Collect a sub-word vocabulary (one job), refusing one above MAX_PIECE_VOCAB entries."""
-    rows = vocab.select("token").limit(MAX_PIECE_VOCAB + 1).collect()
-    if len(rows) > MAX_PIECE_VOCAB:
-        raise ValueError(f"sub-word vocabulary has more than {MAX_PIECE_VOCAB} entries")
-    return frozenset(r[0] for r in rows)
-
-
 def wordpiece_table(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
-    """`(word, pieces)` for a table of distinct words."""
-    spark = words.sparkSession
-    bc = spark.sparkContext.broadcast(_vocab_set(vocab))
+    """`(word, pieces)` for a table of distinct words.
 
-    @F.pandas_udf(Ty.ArrayType(Ty.StringType()))
-    def pieces_udf(s: pd.Series) -> pd.Series:
-        v = bc.value
-        return s.map(lambda w: greedy_pieces(w, v))
-
-    return words.select(word, pieces_udf(F.col(word)).alias("pieces"))
+    Every stretch of a word that is no longer than the longest vocabulary entry is a candidate
+    and equi-joined with the vocabulary; the longest hit of each start is kept, and a
+    word's hits are chained from its first character.  A word above the length limit, or
+    whose chain breaks, is one unknown piece.
+    """
+    top = vocab.agg(F.max(F.char_length("token"))).first()[0] or 0  # one scalar
+    w, n = F.col(word), F.char_length(word)
+    short = words.select(word).where(n.between(1, MAX_INPUT_CHARS_PER_WORD))
+    spans = short.select(word, F.explode(F.sequence(F.lit(1), n)).alias("start"))
+    spans = spans.where(F.lit(top) > 0).withColumn(
+        "len", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(top, 1)), n - F.col("start") + 1))))
+    part = F.substring(w, F.col("start"), F.col("len"))
+    hits = spans.withColumn("token", F.when(F.col("start") == 1, part).otherwise(F.concat(F.lit(CONTINUATION), part))).join(
+        vocab.select("token").distinct(), "token")
+    longest = hits.groupBy(word, "start").agg(F.max(F.struct("len", "token")).alias("hit"))
+    by_word = longest.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("start", "hit"))).alias("__hits"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def follow(state, i):
+        hit = F.element_at("__hits", i)
+        take = (state["at"] == i) & hit.isNotNull()
+        return F.when(take, F.struct((state["at"] + hit["len"]).alias("at"), F.concat(state["pieces"], F.array(hit["token"])).alias("pieces"))).otherwise(state)
+
+    chain = F.aggregate(F.sequence(F.lit(1), n), begin, follow)
+    split = by_word.withColumn("__c", chain).select(
+        word, F.when(F.col("__c.at") == n + 1, F.col("__c.pieces")).alias("__pieces"))
+    unknown = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(UNK_TOKEN)))
+    return words.select(word).join(split, word, "left").select(word, F.coalesce("__pieces", unknown).alias("pieces"))
 
 
 def wordpiece_tokenize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
     """ARRAY<STRING> of basic tokens -> ARRAY<STRING> of word pieces, per `key`.
 
     Token occurrences are exploded once (`posexplode_outer` keeps empty rows);
-    their distinct words go through the UDF, the pieces are equi-joined back on
+    their distinct words are split once, the pieces are equi-joined back on
     the word and regrouped by key in token order.  Returns `key` and `out`.
     """
     occ = df.select(key, F.posexplode_outer(tokens).alias("pos", "word"))

@@ -25,7 +25,7 @@ SEED = 23
 POS_WEIGHT = 10.0
 
 
-NUM_FEATURES = 1 << 16
+NUM_FEATURES = 1 << 18
 
 
 def _split_features(spark: SparkSession, sf: str):

@@ -33,7 +33,6 @@ def load_all() -> None:
         encode_plans,
         eval_plans,
         history_plans,
-        io_plans,
         ml_plans,
         profile_plans,
         split_plans,

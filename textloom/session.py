@@ -30,7 +30,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.ansi.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,7 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when unset."""
+    """Return the shared checkpoint folder.  Unset, only a plain local session gets one of its own."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
         try:  # a checkpoint folder set on the context directly
@@ -47,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             path = None
     if not path:
-        path = tempfile.mkdtemp(prefix="textloom-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_KEY} is not set: name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="textloom-ckpt-")  # a plain local session, as in tests: one machine
         spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -20,6 +20,9 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": "false",
     "encoding": "UTF-8",
 }
+# an empty string is written as "" and an absent value as nothing; a null mark that no field
+# can hold keeps the reader from taking the first for the second
+READ_OPTIONS = CSV_OPTIONS | {"mode": "FAILFAST", "enforceSchema": "false", "emptyValue": "", "nullValue": "\u0000"}
 
 
 def comments_schema(labels, id_col: str = "id", text_col: str = "comment_text", with_id: bool = True) -> Ty.StructType:
@@ -31,7 +34,8 @@ def comments_schema(labels, id_col: str = "id", text_col: str = "comment_text",
 
 def read_csv(spark: SparkSession, path: str, schema: Ty.StructType, header: bool = True) -> DataFrame:
     """Quoted CSV with an explicit (positional when header-less) schema."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("header", str(header).lower()).csv(path)
+    # a header must name the schema's columns in order, and a malformed row is an error, never a null
+    return spark.read.schema(schema).options(**READ_OPTIONS).option("header", str(header).lower()).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> None:
@@ -71,8 +75,11 @@ def write_vectors(vectors: DataFrame, path: str, word: str = "token", vec: str =
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """`word f1 ... fd` lines -> `(token, vec ARRAY<FLOAT>)`; the 2-field header is dropped."""
-    parts = spark.read.text(path).select(F.split(F.col("value"), " ").alias("p"))
-    body = parts.where(F.size("p") == dim + 1)
+    line = F.regexp_replace("value", r"\s+$", "")
+    parts = spark.read.text(path).where(F.trim("value") != "").select(F.split(line, " ").alias("p"), line.alias("line"))
+    header = (F.size("p") == 2) & F.col("line").rlike(r"^[0-9]+ " + str(dim) + "$")
+    body = parts.where(~header).select(F.when(F.size("p") == dim + 1, F.col("p")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a word-vector line has no {dim} numbers: "), F.substring("line", 1, 80)))).alias("p"))
     return body.select(
         F.get(F.col("p"), 0).alias("token"),
         F.transform(F.slice("p", 2, dim), lambda x: x.cast("float")).alias("vec"),
