@@ -4,8 +4,7 @@ The pre-tokenizer of a byte-level BPE never joins text across a single space
 that stands between two non-space characters, so the space-led chunks between
 such places encode independently.  An `Encoder` has the library encode each distinct
 chunk once and joins the stored ids; a mark behind a letter or digit is a token of its
-own chunk too.  The store is bounded and simply starts afresh when full, so ids never
-depend on it.  Ids are little-endian unsigned 32-bit.
+own chunk too.  The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-STORE_ENTRIES = 1_500_000  # bound of the chunk store, about 300 MB; never changes ids
+STORE_ENTRIES = 400_000  # bound of each of two generations of the chunk store; never changes ids
 MARKS = ".,;:!?"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -55,8 +54,18 @@ class _Chunks(dict):
     def __init__(self, ids_of: Callable[[str], bytes], lead: str):
         self.ids_of, self.lead = ids_of, lead
         self.marks = {m: ids_of(m) for m in MARKS}
+        self.old: dict[str, bytes] = {}
+
+    def renew(self) -> None:
+        """Start a new generation when this one is full; what is met again moves over."""
+        if len(self) > STORE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.old.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Glued
         mark = self.marks.get(chunk[-1])
@@ -87,8 +96,7 @@ class Encoder:
 
     def _one(self, text: str) -> bytes:
         for chunks in (self.first, self.later):
-            if len(chunks) > STORE_ENTRIES:
-                chunks.clear()
+            chunks.renew()
         try:
             parts = text.split(" ")
             return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))

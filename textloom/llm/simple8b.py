@@ -67,21 +67,18 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     # a window that fits has all shorter ones fit, so their number is that of the longest one
     chosen = np.where(fitting > 0, 15 - fitting, 0)
     size = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
-    steps = COUNTS[chosen]
-    at = np.zeros(blocks, np.int64)
-    alive = np.arange(blocks)
-    rows, cols = [], []
-    while len(alive):
-        rows.append(alive)
-        cols.append(at[alive])
-        at[alive] += steps[alive, at[alive]]
-        alive = alive[at[alive] < size[alive]]
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    order = np.argsort(row * BLOCK + col, kind="stable")
-    row, col = row[order], col[order]
-    selector = chosen[row, col]
+    chosen = chosen.reshape(-1)
+    at = BLOCK * np.arange(blocks)
+    stop = at + size
+    begins = np.zeros(blocks * BLOCK, bool)  # where a word begins; all blocks are walked at once
+    while len(at):
+        begins[at] = True
+        at = at + COUNTS[chosen[at]]
+        alive = at < stop
+        at, stop = at[alive], stop[alive]
+    place_of = np.flatnonzero(begins)
+    row, col = np.divmod(place_of, BLOCK)
+    selector = chosen[place_of]
     words = selector.astype(np.uint64) << np.uint64(60)
     cells = grid.reshape(-1)
     for s in range(1, 15):
