@@ -51,9 +51,9 @@ class _Glued(Exception):
 class _Chunks(dict):
     """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for."""
 
-    def __init__(self, ids_of: Callable[[str], bytes], lead: str):
+    def __init__(self, ids_of: Callable[[str, str], bytes], lead: str):
         self.ids_of, self.lead = ids_of, lead
-        self.marks = {m: ids_of(m) for m in MARKS}
+        self.marks = {m: ids_of("", m) for m in MARKS}
         self.old: dict[str, bytes] = {}
 
     def renew(self) -> None:
@@ -69,7 +69,11 @@ class _Chunks(dict):
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Glued
         mark = self.marks.get(chunk[-1])
-        ids = self[chunk[:-1]] + mark if mark and chunk[-2:-1].isalnum() else self.ids_of(self.lead + chunk)
+        if mark and chunk[-2:-1].isalnum():
+            word = chunk[:-1]
+            ids = (self.get(word) or self.old.get(word) or self.ids_of(self.lead, word)) + mark
+        else:
+            ids = self.ids_of(self.lead, chunk)
         self[chunk] = ids
         return ids
 
@@ -84,11 +88,16 @@ class Encoder:
         self.model = self.tokenizer.model
         self.first, self.later = _Chunks(self.ids_of, ""), _Chunks(self.ids_of, " ")
 
-    def ids_of(self, text: str) -> bytes:
-        if text.lstrip(" ").isalpha() and not text.startswith("  "):  # letters are one unit to the pre-tokenizer
-            units = self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))
+    def ids_of(self, lead: str, chunk: str) -> bytes:
+        """The ids of `lead` (a space or nothing) and `chunk`."""
+        if chunk.isalpha():  # letters, and a space before them, are one unit to the pre-tokenizer
+            if chunk.isascii():
+                unit = _LETTERS[32] + chunk if lead else chunk
+            else:
+                unit = (lead + chunk).encode().decode("latin-1").translate(_LETTERS)
+            units = self.model.tokenize(unit)
             return struct.pack(f"<{len(units)}I", *[u.id for u in units])
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.tokenizer.encode(lead + chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as packed little-endian uint32."""
@@ -103,5 +112,5 @@ class Encoder:
         except _Glued:
             pass
         parts = _SPLIT.split(text)
-        rest = [self.ids_of(" " + p) if p[0].isspace() or p[-1].isspace() else self.later[p] for p in parts[1:]]
-        return self.ids_of(parts[0]) + b"".join(rest)
+        rest = [self.ids_of(" ", p) if p[0].isspace() or p[-1].isspace() else self.later[p] for p in parts[1:]]
+        return self.ids_of("", parts[0]) + b"".join(rest)
