@@ -3,20 +3,22 @@
 The pre-tokenizer of a byte-level BPE never joins text across a single space
 that stands between two non-space characters, so the space-led chunks between
 such places encode independently.  An `Encoder` has the library encode each distinct
-chunk once and joins the stored ids; a mark behind a letter or digit is a token of its
-own chunk too.  The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
+chunk once and joins the stored ids.  Inside a chunk it cuts at two more places that end a unit for any text:
+around a line break between two non-space characters, and between a letter or digit and the marks that end the chunk.
+The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import struct
 from collections.abc import Callable
 
 import numpy as np
 
 STORE_ENTRIES = 400_000  # bound of each of two generations of the chunk store; never changes ids
-MARKS = ".,;:!?"
+MARKS = string.punctuation
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -49,11 +51,12 @@ class _Glued(Exception):
 
 
 class _Chunks(dict):
-    """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for."""
+    """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for.  `bare` holds chunks without a lead."""
 
-    def __init__(self, ids_of: Callable[[str, str], bytes], lead: str):
+    def __init__(self, ids_of: Callable[[str, str], bytes], lead: str, bare: "_Chunks | None" = None):
         self.ids_of, self.lead = ids_of, lead
-        self.marks = {m: ids_of("", m) for m in MARKS}
+        self.bare = self if bare is None else bare
+        self.line_break = ids_of("", "\n")
         self.old: dict[str, bytes] = {}
 
     def renew(self) -> None:
@@ -68,10 +71,13 @@ class _Chunks(dict):
             return ids
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Glued
-        mark = self.marks.get(chunk[-1])
-        if mark and chunk[-2:-1].isalnum():
-            word = chunk[:-1]
-            ids = (self.get(word) or self.old.get(word) or self.ids_of(self.lead, word)) + mark
+        if "\n" in chunk:
+            lines = chunk.split("\n")
+            if all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
+                return self.line_break.join([self[lines[0]], *[self.bare[line] for line in lines[1:]]])
+        word = chunk.rstrip(MARKS)
+        if word and len(word) < len(chunk) and word[-1].isalnum():
+            ids = (self.get(word) or self.old.get(word) or self.ids_of(self.lead, word)) + self.bare[chunk[len(word) :]]
         else:
             ids = self.ids_of(self.lead, chunk)
         self[chunk] = ids
@@ -86,7 +92,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.tokenizer.model._resize_cache(0)  # the store below holds what repeats
         self.model = self.tokenizer.model
-        self.first, self.later = _Chunks(self.ids_of, ""), _Chunks(self.ids_of, " ")
+        self.first = _Chunks(self.ids_of, "")
+        self.later = _Chunks(self.ids_of, " ", self.first)
 
     def ids_of(self, lead: str, chunk: str) -> bytes:
         """The ids of `lead` (a space or nothing) and `chunk`."""
