@@ -1,5 +1,4 @@
-"""Every registered query runs; every oracle query matches DuckDB (sf0.001 here; the
-driver and `scripts/check_oracle.py` use sf0.01)."""
+"""Every registered query runs; every oracle query matches DuckDB (sf0.001 here)."""
 
 from __future__ import annotations
 

@@ -28,7 +28,7 @@ def mean_pool(df: DataFrame, key: str, ids: str, length: str, id_vectors: DataFr
 
     masked=False divides by max_len and counts padding positions (as the
     reference's mean over the hidden states); masked=True averages the first
-    `length` positions only.  One pass over `df`: real positions are exploded
+    `length` positions only (none: zeros).  One pass over `df`: real positions are exploded
     (`posexplode_outer` keeps a row without any), joined to their vectors and
     summed per row by a grouped `Summarizer` that carries the length along.
     Adds `pooled ARRAY<DOUBLE>`.
@@ -41,7 +41,7 @@ def mean_pool(df: DataFrame, key: str, ids: str, length: str, id_vectors: DataFr
     base = sums.select(key, "__len", vector_to_array("__s").alias("__sum"))
     s = F.col("__sum")
     if masked:
-        pooled = F.transform(s, lambda x: x / F.col("__len"))
+        pooled = F.transform(s, lambda x: x / F.greatest(F.col("__len"), F.lit(1)))
         return base.select(key, pooled.alias("pooled"))
     # the pad id is unique in a vocabulary: its one vector (dim numbers) becomes a literal
     row = id_vectors.where(F.col("id") == pad_id).select("vec").first()
@@ -52,6 +52,13 @@ def mean_pool(df: DataFrame, key: str, ids: str, length: str, id_vectors: DataFr
     return base.select(key, pooled.alias("pooled"))
 
 
+def first_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, empty_id: int, unk_id: int = 0) -> DataFrame:
+    """`(key, first)`: the id at position 0 of a layout without prefix; `empty_id` where a row has no token."""
+    first = df.select(key, F.get(F.col(tokens), 0).alias("token"))
+    j = first.join(vocab.select("token", F.col("id").alias("__id")), "token", "left")
+    return j.select(key, F.when(F.col("token").isNull(), F.lit(empty_id)).otherwise(F.coalesce("__id", F.lit(unk_id))).cast("long").alias("first"))
+
+
 def first_pool(df: DataFrame, key: str, ids: str, id_vectors: DataFrame, dim: int) -> DataFrame:
     """The vector at position 0 (only that position is joined)."""
     first = df.select(key, F.get(F.col(ids), 0).alias("id"))

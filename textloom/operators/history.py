@@ -35,6 +35,11 @@ def best_checkpoint(hist: DataFrame, run: str = "run", epoch: str = "epoch", met
     ).select(run, "n_epochs", F.col("__b.e").alias("best_epoch"), F.col("__b.m").alias("best_metric"))
 
 
+def append_history(part: DataFrame, path: str) -> None:
+    """Add `(run, epoch, metric)` rows to the history table at `path`; earlier rows stay."""
+    part.write.mode("append").parquet(path)
+
+
 def _check_mode(mode: str) -> None:
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be 'min' or 'max', not {mode!r}")

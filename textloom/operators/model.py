@@ -57,17 +57,13 @@ def fit_per_label(train: DataFrame, labels: Sequence[str], features: str = "feat
 def score_per_label(models: dict[str, LogisticRegressionModel], df: DataFrame, key: str,
                     features: str = "features") -> DataFrame:
     """Long `(key, label, logit, prob)` for every row and label."""
-    base = df.select(key, features)
-    out = None
-    for label, m in models.items():
-        s = m.transform(base).select(
-            key,
-            F.lit(label).alias("label"),
-            F.get(vector_to_array("rawPrediction"), 1).alias("logit"),
-            F.get(vector_to_array("probability"), 1).alias("prob"),
-        )
-        out = s if out is None else out.unionByName(s)
-    return out
+    wide, found = df.select(key, features), []
+    for i, (label, m) in enumerate(models.items()):  # every model adds its columns to the one pass
+        raw, prob = f"__raw{i}", f"__prob{i}"
+        wide = m.copy().setRawPredictionCol(raw).setProbabilityCol(prob).setPredictionCol("").transform(wide)
+        found.append(F.struct(F.lit(label).alias("label"), F.get(vector_to_array(raw), 1).alias("logit"),
+                              F.get(vector_to_array(prob), 1).alias("prob")))
+    return wide.select(key, F.explode(F.array(*found)).alias("__s")).select(key, "__s.*")
 
 
 def objective_history(spark: SparkSession, models: dict[str, LogisticRegressionModel]) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.rank import exact_rank, with_quantile_bucket
+from textloom.operators.rank import running_sum, with_quantile_bucket
 
 
-def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | None = None) -> DataFrame:
+def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | Column | None = None) -> DataFrame:
     """Per label positives, negatives, percentage and positive:negative ratio.
 
     One pass over the table; `denominator` replaces the row count for the
@@ -27,7 +27,7 @@ def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | No
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{l}', `{l}__pos`" for l in labels)
     long = wide.selectExpr("__n", f"stack({len(labels)}, {stack}) as (label, positives)")
-    denom = F.col("__n") if denominator is None else F.lit(int(denominator))
+    denom = F.col("__n") if denominator is None else F.lit(denominator)
     return long.select(
         "label",
         F.col("positives").cast("long").alias("positives"),
@@ -38,18 +38,18 @@ def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | No
 
 
 def value_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Counts of each value of each label column (long form)."""
+    """Counts of each value of each label column (long form), most frequent first within a label."""
     stack = ", ".join(f"'{l}', CAST(`{l}` AS BIGINT)" for l in labels)
     long = df.selectExpr(f"stack({len(labels)}, {stack}) as (label, value)")
-    return long.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n")).orderBy("label", F.col("n").desc(), "value")
 
 
 def describe(df: DataFrame, group: str, value: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, exact linear-interpolated quantiles, max per group.
 
     Quantile position p = q * (n - 1); value = v[floor p] + (v[ceil p] - v[floor p]) * frac(p),
-    with v indexed by an exact rank.  Only rows at the needed ranks survive the
-    filter, so the final aggregate is tiny.
+    with v indexed by an exact rank.  Ranks come from running sums of counts over the distinct values,
+    so a value that most rows hold is one row; only values that cover a needed rank go on.
     """
     base = df.select(group, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     stats = base.groupBy(group).agg(
@@ -59,19 +59,23 @@ def describe(df: DataFrame, group: str, value: str, quantiles: Sequence[float] =
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    bucketed, nb = with_quantile_bucket(base, "v", "__qb")
-    ranked = exact_rank(bucketed, F.col("__qb"), ["v"], "__r", total="__n", partition=[group]).drop("__qb")
+    bucketed, _ = with_quantile_bucket(base.groupBy(group, "v").agg(F.count("v").alias("__c")), "v", "__qb")
+    ranked = running_sum(bucketed, F.col("__qb"), ["v"], F.col("__c"), "__r", partition=[group], total="__n").drop("__qb")
+
+    def covers(rank):
+        return (rank > F.col("__r") - F.col("__c")) & (rank <= F.col("__r"))
+
     conds, outs = [], []
     for i, q in enumerate(quantiles):
         pos = F.lit(float(q)) * (F.col("__n") - 1)
         lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
         ranked = ranked.withColumn(f"__lo{i}", lo).withColumn(f"__hi{i}", hi).withColumn(f"__fr{i}", pos - F.floor(pos))
-        conds += [F.col("__r") == F.col(f"__lo{i}"), F.col("__r") == F.col(f"__hi{i}")]
+        conds += [covers(F.col(f"__lo{i}")), covers(F.col(f"__hi{i}"))]
     needed = ranked.where(_any(conds))
     q_aggs = []
     for i, q in enumerate(quantiles):
-        v_lo = F.max(F.when(F.col("__r") == F.col(f"__lo{i}"), F.col("v")))
-        v_hi = F.max(F.when(F.col("__r") == F.col(f"__hi{i}"), F.col("v")))
+        v_lo = F.max(F.when(covers(F.col(f"__lo{i}")), F.col("v")))
+        v_hi = F.max(F.when(covers(F.col(f"__hi{i}")), F.col("v")))
         fr = F.max(F.col(f"__fr{i}"))
         q_aggs.append((v_lo + (v_hi - v_lo) * fr).alias(f"q{int(round(q * 100))}"))
     qs = needed.groupBy(group).agg(*q_aggs)

@@ -7,8 +7,9 @@ coarsening* of the sort key (a hash prefix, a quantile bucket, a
 
 1. count / sum per bucket (partial + final hash aggregate; tiny output),
 2. prefix-sum the bucket table (its size is bounded by the bucketer),
-3. join the offsets back (broadcast when the bucket count is known to be
-   small, otherwise AQE decides from runtime size),
+   a bucket table that grows with the data is itself summed by a coarser bucket (`coarse`), so
+   no window sorts it in one task,
+3. join the offsets back (AQE picks the join from the runtime size),
 4. finish with a window partitioned by bucket, so each task sorts one bucket.
 
 Buckets from a hash prefix or from quantile bounds hold about N / n_buckets
@@ -22,10 +23,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many buckets the offsets table is joined without a broadcast hint.
-BROADCAST_BUCKETS = 200_000
-
-
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in (cs or [])]
 
@@ -38,8 +35,8 @@ def running_sum(
     out: str = "rank",
     partition: Sequence[str] = (),
     total: str | None = None,
-    max_buckets: int | None = None,
     how: str = "sum",
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Inclusive running aggregate (`how` = sum | min | max) of `value`; the
     default (sum of 1) is the exact 1-based row rank.
@@ -47,6 +44,8 @@ def running_sum(
     `bucket` must be non-decreasing along `order` within each `partition`
     group; `order` must be a total order (end with a unique key) when the
     result is a rank.  Adds `out` and, optionally, the group total as `total`.
+    `coarse`, an expression over the bucket column `__bk` and non-decreasing with it, cuts the
+    bucket table itself into few parts.
     """
     part = list(partition)
     agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
@@ -55,14 +54,22 @@ def running_sum(
     b = df.withColumn("__bk", bucket).withColumn("__v", val.cast("long") if value is None else val)
     per_bucket = b.groupBy(*part, "__bk").agg(agg("__v").alias("__s"))
     before = Window.partitionBy(*part).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    running = agg("__s").over(before)
+    if coarse is not None:
+        per_bucket = per_bucket.withColumn("__ck", coarse)
+        tops = per_bucket.groupBy(*part, "__ck").agg(agg("__s").alias("__cs"))
+        above = Window.partitionBy(*part).orderBy("__ck").rowsBetween(Window.unboundedPreceding, -1)
+        tops = tops.select(*part, "__ck", agg("__cs").over(above).alias("__coff"))
+        per_bucket = per_bucket.join(tops, [*part, "__ck"])
+        within = Window.partitionBy(*part, "__ck").orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+        inner = agg("__s").over(within)
+        running = F.when(inner.isNull(), F.col("__coff")).otherwise(combine(F.col("__coff"), inner))
     offsets = per_bucket.select(
         *part,
         "__bk",
-        agg("__s").over(before).alias("__off"),
+        running.alias("__off"),
         *([F.sum("__s").over(Window.partitionBy(*part)).alias(total)] if total else []),
     )
-    if max_buckets is not None and max_buckets <= BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
     joined = b.join(offsets, [*part, "__bk"])
     inside = Window.partitionBy(*part, "__bk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, combine(F.col("__off"), agg("__v").over(inside))).drop("__bk", "__v", "__off")
@@ -109,14 +116,26 @@ def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence[float], out: str
     return df
 
 
+def string_place(df: DataFrame, key: str) -> Column:
+    """A number that never decreases along a string key: the six bytes behind the prefix that all keys share."""
+    row = df.agg(F.min(key), F.max(key)).first()
+    low, high = [(v or "").encode() for v in row]
+    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    six = F.substring(F.encode(F.col(key), "UTF-8"), shared + 1, 6)
+    return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
+
+
 def with_quantile_bucket(df: DataFrame, key: str, out: str, n: int = 256) -> tuple[DataFrame, int]:
     """Add a bucket column from approximate quantile bounds; returns (df, bucket count bound)."""
+    if dict(df.dtypes)[key] == "string":
+        placed = df.withColumn("__place", string_place(df, key))
+        bounds = quantile_bounds(placed, "__place", n)
+        return with_bound_bucket(placed, "__place", bounds, out).drop("__place"), len(bounds) + 1
     bounds = quantile_bounds(df, key, n)
     return with_bound_bucket(df, key, bounds, out), len(bounds) + 1
 
 
 def exact_rank(df: DataFrame, bucket: Column, order: Sequence[Column | str], out: str = "rank",
-               total: str | None = None, max_buckets: int | None = None,
-               partition: Sequence[str] = ()) -> DataFrame:
+               total: str | None = None, partition: Sequence[str] = (), coarse: Column | None = None) -> DataFrame:
     """1-based exact row number along `order` (see module doc)."""
-    return running_sum(df, bucket, order, None, out, partition, total, max_buckets)
+    return running_sum(df, bucket, order, None, out, partition, total, coarse=coarse)

@@ -22,7 +22,7 @@ def random_rank(df: DataFrame, key: str, seed, out: str = "rank", total: str | N
     """Exact 1-based rank in seeded random order; 4,096 hash-prefix buckets."""
     h = hash_order(key, seed)
     d = df.withColumn("__h", h)
-    return exact_rank(d, hash_prefix_bucket(F.col("__h"), 3), ["__h", key], out, total, max_buckets=4096).drop("__h")
+    return exact_rank(d, hash_prefix_bucket(F.col("__h"), 3), ["__h", key], out, total).drop("__h")
 
 
 def split_exact(df: DataFrame, key: str, seed=23, train_ratio: float | None = 0.7,
@@ -42,9 +42,9 @@ def split_exact(df: DataFrame, key: str, seed=23, train_ratio: float | None = 0.
 
 
 def ordered_rank(df: DataFrame, key: str, out: str = "rank", n_buckets: int = 256) -> DataFrame:
-    """Exact rank along a numeric key with quantile buckets (balanced for unique keys)."""
-    d, nb = with_quantile_bucket(df, key, "__qb", n_buckets)
-    return exact_rank(d, F.col("__qb"), [key], out, max_buckets=nb).drop("__qb")
+    """Exact rank along a numeric or string key with quantile buckets (balanced for unique keys)."""
+    d, _ = with_quantile_bucket(df, key, "__qb", n_buckets)
+    return exact_rank(d, F.col("__qb"), [key], out).drop("__qb")
 
 
 def batch_assign(df: DataFrame, key: str, batch_size: int, seed=None, epoch: int = 0) -> DataFrame:

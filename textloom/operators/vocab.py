@@ -52,7 +52,9 @@ def build_vocab(
     if specials:
         words = words.where(~F.col("token").isin(*specials))
     bucket = F.struct((-F.col("freq")).alias("nf"), F.substring("token", 1, 2).alias("p"))
-    ranked = exact_rank(words, bucket, [F.col("freq").desc(), F.col("token")], out="rank")
+    # at most 64 parts: the bucket table has a row for every frequency and token beginning
+    coarse = -F.floor(F.log2(-F.col("__bk.nf")))
+    ranked = exact_rank(words, bucket, [F.col("freq").desc(), F.col("token")], out="rank", coarse=coarse)
     if max_size is not None:
         ranked = ranked.where(F.col("rank") <= max_size)
     out = ranked.select("token", (F.col("rank") - 1 + len(specials)).alias("id"), "freq")
@@ -92,6 +94,19 @@ def lookup_ids(
     return regrouped.select(key, *carry, F.col("_p.id").alias(out))
 
 
+def unknown_tokens(tokens_df: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """J01, strict side: `(token, n)` of the tokens that the vocabulary lacks; empty if all are known."""
+    seen = token_frequencies(tokens_df, tokens).withColumnRenamed("freq", "n")
+    return seen.join(vocab.select("token"), "token", "left_anti")
+
+
+def strict_ids(tokens_df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", out: str = "ids") -> DataFrame:
+    """J01 with `strict`: as `lookup_ids`, but the query fails on a token that the vocabulary lacks."""
+    ids = lookup_ids(tokens_df, vocab, key, tokens, -1, out)
+    known = F.assert_true(~F.array_contains(out, -1), F.lit("a token is not in the vocabulary"))
+    return ids.withColumn(out, F.when(known.isNull(), F.col(out)))
+
+
 def lookup_tokens(ids_df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "tokens",
                   carry: Sequence[str] = ()) -> DataFrame:
     """ARRAY<LONG> -> ARRAY<STRING> (inverse of `lookup_ids`; unknown ids -> null)."""

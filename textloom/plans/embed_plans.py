@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import embed as EM
-from textloom.operators.encode import encode_single
-from textloom.plans.encode_plans import CLS, EOS, MAX_LEN, PAD, SQL_FIXED_CTES, UNK, _doc_tokens, fixed_word_encoding
+from textloom.plans.encode_plans import EOS, MAX_LEN, PAD, SQL_FIXED_CTES, UNK, _doc_tokens, fixed_word_encoding
 from textloom.plans import sqlfrag as S
 from textloom.plans.registry import register
 from textloom.plans.text_plans import sql_vocab_with, word_vocab
@@ -98,7 +97,7 @@ def embed_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 def embed_first_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Vector of position 0 in the layout with both specials at the end (ids + <eos> <cls>)."""
     vocab = materialize(word_vocab(spark, sf))
-    enc = encode_single(_doc_tokens(spark, sf), "doc_id", "tokens", vocab, MAX_LEN,
-                        prefix=(), suffix=(EOS, CLS), pad_id=PAD, unk_id=UNK)
-    first = EM.first_pool(enc, "doc_id", "input_ids", id_vectors(spark, sf, vocab), DIM)
+    firsts = EM.first_ids(_doc_tokens(spark, sf), "doc_id", "tokens", vocab, EOS, UNK)
+    ids = firsts.select("doc_id", F.array("first").alias("input_ids"))
+    first = EM.first_pool(ids, "doc_id", "input_ids", id_vectors(spark, sf, vocab), DIM)
     return first.select("doc_id", F.col("id").alias("first_id"), *EM.vec_summary(F.col("pooled")))

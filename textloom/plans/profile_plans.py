@@ -79,7 +79,7 @@ def eda_pred_prevalence(spark: SparkSession, sf: str) -> DataFrame:
     predictions, as a percentage of the *training* row count."""
     from textloom.plans.submit_plans import test_scores
 
-    n_train = tb.train_comments(spark, sf).count()  # one scalar
+    n_train = tb.train_comments(spark, sf).agg(F.count(F.lit(1))).scalar()  # a subquery of the same plan
     preds = test_scores(spark, sf).select(
         "doc_id", *[(sigmoid(f"logit_{l}") > 0.5).cast("int").alias(l) for l in LABELS]
     )

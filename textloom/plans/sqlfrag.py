@@ -71,7 +71,3 @@ def basic_tokens(col: str) -> str:
     split_one = f"list_filter(string_split(regexp_replace(t, '({PUNCT})', ' \\1 ', 'g'), ' '), lambda x: x <> '')"
     per = f"list_transform(list_filter({low}, lambda x: x <> ''), lambda t: CASE WHEN list_contains({NEVER}, t) THEN [t] ELSE {split_one} END)"
     return f"flatten({per})"
-
-
-def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"

@@ -7,7 +7,6 @@ which sets a checkpoint folder only when none is configured.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -61,15 +60,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_file_path(path: str) -> str:
-    """Strip a `file:` scheme so a local path can be handed to plain Python in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def default_sf_dir() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
-
 def materialize(df):
     """Reliable checkpoint into the shared checkpoint folder: computes `df` once and cuts
     its lineage, so a table used several times in one job (a vocabulary) is not
