@@ -32,15 +32,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    groups = simhash_groups(docs)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    mark = firsts.select(F.struct("*").alias(fresh(docs, "kept")))
+    """One row of each near-duplicate group: the one with the smallest id (null last), then text hash."""
+    rows = simhash_groups(docs).groupBy("component_fp", "doc_id", "th").agg(F.count("*").alias("kept_rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "kept_rows"))
+    mark = rows.groupBy("component_fp").agg(least.alias("least")).select(F.col("least").alias(fresh(docs, "kept")))
     kept = mark.columns[0]
-    found = docs.join(mark, docs.doc_id.eqNullSafe(F.col(f"{kept}.kept_id")))
+    found = docs.join(mark, docs.doc_id.eqNullSafe(F.col(f"{kept}.doc_id")) & (F.xxhash64(docs.text) == F.col(f"{kept}.th")))
     once = found.where(F.col(f"{kept}.kept_rows") == 1).select(docs.columns)
-    # rows that repeat an id are few and only they are compared again
-    again = found.where(F.col(f"{kept}.kept_rows") > 1).select(docs.columns).dropDuplicates(["doc_id"])
+    # rows that repeat both id and text are few and only they are compared again
+    again = found.where(F.col(f"{kept}.kept_rows") > 1).groupBy(kept).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return once.unionByName(again)
 
 

@@ -132,3 +132,14 @@ def test_pipeline_stages(spark, tmp_path):
             assert sum(len(WORDS.findall(r.text)) for r in now) == round(1.5 * total)
             assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
         before = after
+
+
+def test_simhash_stage_keeps_one_row_of_each_group(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(80))
+    near = text(1) + " tail"
+    assert (simhash.text_fingerprint(near) ^ simhash.text_fingerprint(text(1))).bit_count() <= simhash.MAX_BITS
+    rows = [(None, text(n), "a") for n in range(10, 16)] + [(None, text(10), "a"), (7, text(20), "a"), (7, text(21), "a")]
+    rows += [(3, text(1), "a"), (9, near, "a"), (9, text(22), "a"), (8, text(23), "a"), (8, text(23), "b"), (None, text(1), "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.simhash_stage(spark, table, SF).collect())
+    assert got == sorted([("None", text(n)) for n in range(10, 16)] + [("7", text(20)), ("7", text(21)), ("3", text(1)), ("9", text(22)), ("8", text(23))])

@@ -58,15 +58,15 @@ def text_fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp long) for every row."""
+    """(doc_id, th long, fp long) for every row, `th` being xxhash64 of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((text_fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    kept = narrowed(docs, id_col, text_col)
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
+    kept = narrowed(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def segment_plan(max_bits: int, segments: int) -> list[tuple[int, int, int]]:
@@ -119,8 +119,9 @@ def links(distinct: DataFrame, max_bits: int, segments: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS,
                    max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """One row per row of `docs`: doc_id, fp (long), component_id (smallest doc_id whose fingerprint
-    is reachable through links of at most `max_bits` bits, its own included).
+    """One row per row of `docs`: doc_id, th (xxhash64 of the text), fp (long), component_id (smallest
+    doc_id whose fingerprint is reachable through links of at most `max_bits` bits, its own included)
+    and component_fp, one fingerprint of the group, which tells groups apart also where ids don't.
 
     Null and wordless texts have fingerprint 0 and link like others; repeated rows and equal
     texts share a component; a null id has component null unless another id is in its group;
@@ -130,8 +131,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = components(links(distinct.select("fp", "n"), max_bits, segments))
     labelled = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("c"))
     ids = labelled.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(ids, "c").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = labelled.join(ids, "c").select("fp", "component_id", F.col("c").alias("component_fp"))
+    return fps.join(by_fp, "fp").select("doc_id", "th", "fp", "component_id", "component_fp")
 
 
 @register("op2_simhash_near_dedup")
