@@ -177,6 +177,18 @@ def test_patterns_find_unseen_identifiers_and_spare_others(spark):
     assert all(not got[i].added for i in got if i != 20) and all(len(got[i].base) == 1 for i in range(8))
 
 
+def test_proven_identifiers_are_marked_everywhere_and_prove_others(spark):
+    rows = [(i, f"so please write to u{i}@ex.org today", "a") for i in range(12)]
+    rows += [(20 + i, f"now please write to peter9{i}@localhost today", "a") for i in range(3)]
+    rows += [(30 + i, f"they often sign as peter9{i}@localhost too", "a") for i in range(3)]
+    rows += [(40, "but others sign as zed-7788 too", "a"), (41, "seen by zed-7788", "a"), (42, "seen by room12345", "a")]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    added = {i: [(texts[i][s.start : s.end], s.kind) for s in r.added] for i, r in got.items() if r.added}
+    want = {20 + 10 * k + i: [(f"peter9{i}@localhost", 0)] for k in range(2) for i in range(3)}
+    assert added == want | {40: [("zed-7788", 0)], 41: [("zed-7788", 0)]}
+
+
 def test_personal_data_awkward(spark):
     got = pii.personal_data(awkward(spark)).collect()
     assert len(got) == 10 and all(not r.added for r in got)

@@ -7,7 +7,8 @@ patterns it stands in, and equal strings are one instance across the corpus.
 
 Spark scores this graph in rounds: a pattern's confidence is the mean score of its instances, a
 candidate's score the best confidence of its patterns.  Candidates that pass the threshold
-are added as spans of the pattern's kind.  Seeds keep score 1 and always stay.
+are added as spans of the pattern's kind wherever they occur, and are seeds of the patterns
+around them when the graph is scored again, until nothing new passes.  Seeds keep score 1 and always stay.
 """
 
 from __future__ import annotations
@@ -166,6 +167,22 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEE
     return scores
 
 
+def proven(edges: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(instance, new_kind): every candidate that passes, its kind that of its best pattern (the first listed if they tie)."""
+    found = None
+    while True:
+        scores = score_graph(edges, rounds, min_seeds)
+        sure = scores.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= min_confidence)
+        best = F.max(F.struct("score", (-F.col("pattern_kind")).alias("less")))
+        new = written(scores.where((F.col("kind") == -1) & (F.col("score") >= min_confidence)).join(sure, "pattern", "left_semi")
+                      .groupBy("instance").agg(best.alias("best")).select("instance", (-F.col("best.less")).alias("new_kind")), "pii-found")
+        found = new if found is None else found.unionByName(new)
+        if new.isEmpty():
+            return found
+        kind = F.when(F.col("kind") == -1, F.coalesce("new_kind", "kind")).otherwise(F.col("kind"))
+        edges = written(edges.join(new, "instance", "left").select("pattern", "instance", kind.alias("kind")).distinct(), "pii-edges")
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
                   min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """One row per row of `docs`: doc_id, base and added, both array<struct<start, kind, end>>
@@ -175,16 +192,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     graph); ids may be null; an empty table gives no rows; other columns are ignored."""
     rows = written(find_occurrences(docs, id_col, text_col), "pii-rows")
     hits = rows.select(F.explode("found").alias("h")).select("h.*")
-    edges = hits.select("pattern", "instance", "kind").distinct()
-    scores = score_graph(edges, rounds, min_seeds)
-    sure = scores.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= min_confidence)
-    good = written(scores.where((F.col("kind") == -1) & (F.col("score") >= min_confidence)).join(sure, "pattern", "left_semi")
-                   .select("pattern", "instance", F.col("pattern_kind").alias("new_kind")).distinct(), "pii-found")
+    edges = written(hits.select("pattern", "instance", "kind").distinct(), "pii-edges")
+    good = proven(edges, rounds, min_confidence, min_seeds)
     # only documents with candidates go through the join; they come back by a key made of what they hold
     key = F.xxhash64("doc_id", "found")
     asked = rows.where(F.exists("found", lambda h: h["kind"] == -1)).select(
         F.col("doc_id").alias("id"), key.alias("row"), F.explode(F.array_distinct(F.filter("found", lambda h: h["kind"] == -1))).alias("h")).distinct()
-    added = asked.select("id", "row", "h.*").join(good, ["pattern", "instance"]).groupBy("id", "row").agg(
+    added = asked.select("id", "row", "h.*").join(good, "instance").groupBy("id", "row").agg(
         F.collect_list(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("added"))
     joined = rows.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (key == F.col("row")), "left")
     return joined.select("doc_id", F.array_sort("base").alias("base"),
