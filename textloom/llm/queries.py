@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from textloom.llm import embeddings, linededup, mixing, packing, pii, quality, sharding, simhash, simple8b, toolcalls  # noqa: F401
+from textloom.llm import (  # noqa: F401
+    centroids,
+    embeddings,
+    linededup,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    simple8b,
+    toolcalls,
+)
 from textloom.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
