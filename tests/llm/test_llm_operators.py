@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.llm import bpe, embeddings, linededup, mixing, packing, pii, quality, sharding, simhash, simple8b, toolcalls
 from textloom.llm.common import scratch
 from textloom.llm.components import components
+from textloom.llm.texts import text_key
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, idx int, fp string, bucket_ long"
 
@@ -390,15 +391,53 @@ def test_shifted_passage_is_found_and_first_one_stays(spark):
 
 def test_chunks_join_to_the_text_and_awkward_rows(spark):
     table = awkward(spark)
-    same = table.where("text is not null").select("text", F.array_join(F.transform(linededup.chunks_of(F.col("text")), lambda c: c["body"]), "\n").alias("again"))
-    assert same.where("text <> again").count() == 0
+    texts = table.where("text is not null").select(*text_key(F.col("text")), "text", F.lit(1).cast("long").alias("copies"))
+    starts = linededup.chunk_starts(texts)
+    same = texts.join(starts, ["t1", "t2"]).select("text", F.array_join(F.transform(
+        linededup.chunks_of(F.col("text"), F.col("starts")), lambda c: c["body"]), "\n").alias("again"))
+    assert same.count() == 9 and same.where("text <> again").count() == 0
     out = linededup.dedup_lines(table)
     assert out.columns == table.columns and out.count() == 10
     texts = {r.doc_id: r.text for r in out.collect()}
-    assert texts[1] is None and texts[2] == "" and texts[6] == "  \n\t \n" and texts[4] == "a b c\nd e f\ng h" and texts[7] != texts[4]
+    assert texts[1] is None and texts[2] == "" and texts[6] == "  \n\t \n"
+    # three rows hold one text of a chunk of three lines: the first keeps it, be it one of two with equal ids
+    assert sorted(r.text for r in out.collect() if r.doc_id in (4, 7)) == ["", "", "a b c\nd e f\ng h"] and texts[7] == ""
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 3, 4, 6, 10, 20])
+def test_short_shared_passages_are_found(spark, k):
+    random.seed(k)
+    line = lambda: " ".join(f"w{random.randrange(5000)}" for _ in range(12))
+    rows, shared = [], []
+    for p in range(150):
+        passage = [line() for _ in range(k)]
+        shared.append(passage)
+        for side in (0, 1):
+            rows.append((2 * p + side, "\n".join([line() for _ in range(random.randint(0, 8))] + passage + [line() for _ in range(random.randint(0, 8))]), "a"))
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows), stats=True).collect()}
+    gone = sum(got[2 * p + 1].removed_lines for p in range(150))
+    assert gone >= 0.9 * 150 * k and all(got[2 * p].text == rows[2 * p][1] for p in range(150))
+    for p, passage in enumerate(shared):  # nothing else goes
+        assert set(rows[2 * p + 1][1].split("\n")) - set(got[2 * p + 1].text.split("\n")) <= set(passage)
+
+
+def test_passages_that_meet_or_overlap_are_cut_alike(spark):
+    a, b, c = ([f"{n} line {i} of it" for i in range(5)] for n in "abc")
+    rows = [(1, a + b), (2, ["x"] + a + ["y"]), (3, ["z"] + b), (4, ["", *c, "", *a, ""]), (5, ["q", "", *c, ""]), (6, a[2:] + ["end"])]
+    got = {r.doc_id: r.text.split("\n") for r in linededup.dedup_lines(docs(spark, [(i, "\n".join(x), "a") for i, x in rows])).collect()}
+    assert got[1] == a + b and got[2] == ["x", "y"] and got[3] == ["z"] and not set(got[4]) & set(a) and not set(got[5]) & set(c[1:]) and got[6] == ["end"]
+
+
+def test_copies_with_null_or_equal_ids_lose_what_repeats(spark):
+    text = "one line\nand another\nand a third"
+    rows = [(None, text, "a")] * 40 + [(9, text, "b")] * 3 + [(None, None, "c")]
+    out = linededup.dedup_lines(docs(spark, rows)).collect()
+    assert len(out) == 44 and [r.doc_id for r in out if r.text == text] == [9] and sum(r.text is None for r in out) == 1
+    only = linededup.dedup_lines(docs(spark, rows[:40])).collect()
+    assert sorted(r.text for r in only) == [""] * 39 + [text]
+
+
 def test_line_dedup_plan_has_no_python(spark):
     plan = linededup.dedup_lines(awkward(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

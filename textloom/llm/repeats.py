@@ -24,7 +24,6 @@ equal texts are one row of it.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_written, partitions, read_table, scratch, written
+from textloom.llm.common import drop_written, read_table, written
 from textloom.llm.registry import register
+from textloom.llm.texts import DistinctTexts, text_key
 
 LENGTH = 400
 ANCHOR = 128            # bytes of an anchor string, at most `LENGTH`
@@ -221,36 +221,7 @@ def parts(text: bytes, start: int, n: int, anchor: int, f: int, width: int, leng
         yield lo, hi - lo + 1, anchor, _signed(xxhash.xxh3_64_intdigest(core, (f + j) & (1 << 64) - 1))
 
 
-class _Texts:
-    """The distinct texts of a table, in a table of its own that is bucketed by their hash."""
-
-    def __init__(self, docs: DataFrame, text_col: str, length: int):
-        self.spark = docs.sparkSession
-        self.name = f"textloom_texts_{uuid.uuid4().hex[:12]}"
-        rows = docs.select(*text_key(F.col(text_col)), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") >= length)
-        texts = rows.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-        texts.write.bucketBy(partitions(self.spark), "t1", "t2").option("path", scratch(self.spark, "texts")).saveAsTable(self.name)
-
-    def all(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def asked(self, rows: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-        """Each text that `rows` (t1, t2, `columns`) ask about, with a list of what they ask."""
-        per = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct(*columns)).alias("asks"))
-        return self.all().join(per, ["t1", "t2"], how)
-
-    def drop(self) -> None:
-        table = self.all()
-        drop_written(table)
-        self.spark.sql(f"DROP TABLE {self.name}")
-
-
-def text_key(text):
-    """Two 64-bit hashes that stand for a text."""
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
-
-
-def _first_segments(texts: _Texts, length: int, anchor: int) -> DataFrame:
+def _first_segments(texts: DistinctTexts, length: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, text in zip(*[c.to_pylist() for c in batch.columns]):
@@ -259,7 +230,7 @@ def _first_segments(texts: _Texts, length: int, anchor: int) -> DataFrame:
     return texts.all().select("t1", "t2", "text").mapInArrow(run, _SEGMENT_DDL)
 
 
-def _narrower(texts: _Texts, hot: DataFrame, width: int, length: int) -> DataFrame:
+def _narrower(texts: DistinctTexts, hot: DataFrame, width: int, length: int) -> DataFrame:
     """The segments of anchors with too many kinds, cut into parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +242,7 @@ def _narrower(texts: _Texts, hot: DataFrame, width: int, length: int) -> DataFra
     return asked.select("t1", "t2", "text", "asks").mapInArrow(run, _SEGMENT_DDL)
 
 
-def _sorted_marks(texts: _Texts, cold: DataFrame, length: int) -> DataFrame:
+def _sorted_marks(texts: DistinctTexts, cold: DataFrame, length: int) -> DataFrame:
     """The recurring windows of segments that share their anchor with other segments."""
     piece = pa.schema([("f", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()),
                        ("again", pa.bool_()), ("body", pa.binary())])
@@ -311,7 +282,7 @@ def _sorted_marks(texts: _Texts, cold: DataFrame, length: int) -> DataFrame:
     return pieces.repartition("f").sortWithinPartitions("f").mapInArrow(sort, _MARK_DDL)
 
 
-def repeated_windows_of(texts: _Texts, length: int, anchor: int, temporary: list[DataFrame]) -> DataFrame:
+def repeated_windows_of(texts: DistinctTexts, length: int, anchor: int, temporary: list[DataFrame]) -> DataFrame:
     """(t1, t2, start, windows): ranges of window starts whose windows occur elsewhere too."""
     def keep(df: DataFrame, name: str) -> DataFrame:
         temporary.append(written(df, name))
@@ -346,8 +317,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `length` lose nothing; rows with equal texts lose all of it if it is long enough; null and
     repeated ids are treated like any; an empty table gives no rows; other columns are ignored.
     Segments of equal 128-bit hash count as equal."""
-    spark = docs.sparkSession
-    texts = _Texts(docs, text_col, length)
+    own = F.col(text_col)
+    texts = DistinctTexts(docs, own.cast("binary"), F.octet_length("text") >= length)
     temporary: list[DataFrame] = []
     marks = repeated_windows_of(texts, length, anchor, temporary)
 
@@ -375,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts.drop()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha"),
-                       *[text.cast("binary").alias("own")] * kept, *text_key(F.col(text_col)))
+                       *[text.cast("binary").alias("own")] * kept, *text_key(own.cast("binary")))
     none = F.array().cast("array<struct<start:long,end:long>>")
     return rows.join(changed, ["t1", "t2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("sha", "own_sha").alias("kept_sha256"),
