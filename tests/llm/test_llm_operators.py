@@ -190,6 +190,62 @@ def test_proven_identifiers_are_marked_everywhere_and_prove_others(spark):
     assert added == want | {40: [("zed-7788", 0)], 41: [("zed-7788", 0)]}
 
 
+def test_held_out_identifiers_are_found_by_their_patterns(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 7)))
+    prose = lambda: " ".join(word() for _ in range(random.randint(3, 12)))
+    rows, held = [], {}
+    for i in range(300):
+        kind = i % 2
+        lead = [["reachable", "under"], ["connected", "from"]][kind]
+        if i < 160:  # seeds that the fixed patterns find
+            what = f"{word()}{i}@mail.example.org" if kind == 0 else f"10.{i}.{i % 250}.7"
+        else:        # written so that they don't
+            what = f"{word()}{i}@intranet" if kind == 0 else f"10-{i}-{i % 250}-7"
+            held[i] = (what, kind)
+        rows.append((i, " ".join([prose(), *lead, what, "since", prose(), f"room{random.randrange(10**6)}", prose()]), "a"))
+    # as many seeds fail as pass after these words, so they prove nothing
+    rows += [(1000 + i, f"{prose()} order number {n} {prose()} order number x{i}-77", "a")
+             for i, n in enumerate(["4111111111111111", "4111111111111112", "5500005555555559", "5500005555555558"] * 8)]
+    rows += [(2000, "call +1 (269) 555-3296 4524132264652876 now", "a")] + [(2001 + i, f"{prose()} +1 (269) 555-{3000 + i} {prose()}", "a") for i in range(6)]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    added = {(i, texts[i][s.start : s.end], s.kind) for i, r in got.items() for s in r.added if i < 2000}
+    right = {(i, what, kind) for i, (what, kind) in held.items()}
+    assert len(added & right) >= 0.9 * len(right) and len(added & right) >= 0.9 * len(added)
+    assert [(texts[2000][s.start : s.end], s.kind) for s in got[2000].added] == [("+1 (269) 555-3296", 3)]
+
+
+def test_many_unseen_instances_are_no_reason_to_stop(spark):
+    rows = [(i, f"so please write to u{i}@ex.org today", "a") for i in range(40)] + [(100 + i, f"so please write to user{i}x99 today", "a") for i in range(36)]
+    got = pii.personal_data(docs(spark, rows)).collect()
+    assert sum(len(r.added) for r in got) == 36
+    rows = rows[:5] + [(100 + i, f"so please write to user{i}x99 today", "a") for i in range(200)]  # too many for few seeds
+    assert sum(len(r.added) for r in pii.personal_data(docs(spark, rows)).collect()) == 0
+
+
+def test_counter_examples_far_back_and_behind_failed_numbers():
+    text = "0" * 5000 + "1.2.3.4 x" + "1.2.3.456 " * 5 + "a@b.co"
+    base, found = pii.occurrences(text)
+    assert text[slice(*base[0][::2])] == "0" * 5000 + "1.2.3.4" and base[-1][1] == 0
+    assert pii.patterns_of("first " + " " * 500 + "second" + " " * 300 + "x1@y, next", 812, 816)[:4] == ["second", "first second", "next", "second next"]
+    assert pii.shape("(Ab1) 22-é") == "(a9) 99-a" and pii.shape("4111 1111 1111 1111").endswith("L")
+
+
+def test_base_spans_of_a_whole_table(spark):
+    from conftest import SF_SMALL
+
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in pii.op3(spark, SF_SMALL).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(PATTERNS[p], r.text or "") if passes(p, m[0]))
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        row = got[r.doc_id]
+        assert row.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(line.split(",")) - {""} <= set(row.spans.split(","))
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+
+
 def test_personal_data_awkward(spark):
     got = pii.personal_data(awkward(spark)).collect()
     assert len(got) == 10 and all(not r.added for r in got)
