@@ -5,16 +5,26 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from textloom.llm import bpe
 
 
 def test_chunks_equal_whole_texts():
     ours = bpe.Encoder(bpe.default_tokenizer_path())
-    library = bpe.Encoder(bpe.default_tokenizer_path()).tokenizer
+    library = Tokenizer.from_file(bpe.default_tokenizer_path())  # the plain call
     rnd = random.Random(7)
     parts = [*"ab \n\t.,*#'$_-<|>0\r", "\u00e9", "\u00b2", "\u2460", "\u4e2d", "\x1c", "\x85", "\u3000", "'s", "'ll", "\n\n", " \n", "end.\nNext", "word***", "<|endoftext|>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 16))) for _ in range(4000)]
     want = [np.asarray(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert ours.encode(texts) == want
     assert ours.encode([None, "", *texts]) == [b"", b"", *want]  # met before, and nothing to encode
+
+
+def test_added_tokens_are_cut_out_as_by_the_library():
+    ours, library = bpe.Encoder(bpe.default_tokenizer_path()), Tokenizer.from_file(bpe.default_tokenizer_path())
+    special = "<|endoftext|>"
+    texts = [special, f"a {special} b", f"x{special}", f"in{special}side words", f"  {special}\n", f"{special}{special} two", f"a b {special[:-1]} c", f"word {special} " * 50]
+    for text in texts:
+        assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ours.encode(texts[1:2])[0], "<u4").tolist() == [64, 220, 50256, 275]

@@ -5,6 +5,7 @@ that stands between two non-space characters, so the space-led chunks between
 such places encode independently.  An `Encoder` has the library encode each distinct
 chunk once and joins the stored ids.  Inside a chunk it cuts at two more places that end a unit for any text:
 around a line break between two non-space characters, and between a letter or digit and the marks that end the chunk.
+A text that holds the string of an added token goes to the library whole.
 The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
 """
 
@@ -89,7 +90,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # the store below holds what repeats
         self.model = self.tokenizer.model
         self.first = _Chunks(self.ids_of, "")
@@ -104,13 +105,18 @@ class Encoder:
                 unit = (lead + chunk).encode().decode("latin-1").translate(_LETTERS)
             units = self.model.tokenize(unit)
             return struct.pack(f"<{len(units)}I", *[u.id for u in units])
-        return np.asarray(self.tokenizer.encode(lead + chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._whole(lead + chunk)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as packed little-endian uint32."""
         return [self._one(text) if text else b"" for text in texts]
 
     def _one(self, text: str) -> bytes:
+        if any(token in text for token in self.added):  # cut out before any pre-tokenizing, also inside words
+            return self._whole(text)
         for chunks in (self.first, self.later):
             chunks.renew()
         try:

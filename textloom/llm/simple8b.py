@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                       end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Encode every text, append `end_id`, and write files in ascending id order (nulls first; equal
     ids by text hash) under `folder`, which all executors must reach.  Returns the written
-    list of files: part, path, docs, ids, bytes.
+    list of files: part, name, docs, ids, bytes, folder.  The file format holds integer ids: others raise.
 
     A task writes one file under a name of its own try; only files of tasks that succeeded
     are listed, so a lost executor leaves at most a file that nothing reads."""
