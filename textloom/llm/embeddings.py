@@ -25,8 +25,11 @@ from textloom.llm.components import components
 from textloom.llm.registry import register
 
 MIN_COSINE = 0.95
-PIVOTS = 256       # reference points; the sample they are chosen from has 8 times as many
+PIVOTS = 256       # reference points of a small table; the sample they are chosen from has 8 times as many
+MOST_PIVOTS = 4096  # and of a very large one
+ROWS_PER_STEP = 1 << 16  # distinct vectors from which on pivots grow, with their cube root: lists then keep their length
 PREFIX = 7
+LONG_PREFIX = 9    # of more than `PIVOTS`
 SHARED = 3
 SPREAD = 0.7       # pivots are less similar to each other than this
 BLOCK = 1024       # vectors of a list in a block
@@ -34,6 +37,14 @@ SMALL_LIST = 8
 SEED = 42
 
 
+def index_size(n: int) -> tuple[int, int]:
+    """(pivots, prefix length) for `n` distinct vectors."""
+    pivots = PIVOTS
+    while pivots < MOST_PIVOTS and (2 * pivots // PIVOTS) ** 3 * ROWS_PER_STEP <= n:
+        pivots *= 2
+    return pivots, PREFIX if pivots == PIVOTS else LONG_PREFIX
+
+
 def choose_pivots(sample: np.ndarray, dim: int, n: int = PIVOTS, spread: float = SPREAD) -> np.ndarray:
     """`n` unit vectors: sampled ones that are not too similar, then random directions."""
     out: list[np.ndarray] = []
@@ -134,8 +145,10 @@ def link_cells(batches: Iterator[pa.RecordBatch], min_cosine: float, n_pivots: i
         begins = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1))
         sizes = np.diff(np.append(begins, t.num_rows))
         short = (sizes <= SMALL_LIST) & (sizes > 1)
-        if short.any():
-            yield small(t.filter(pa.array(np.repeat(short, sizes))), sizes[short])
+        dims = t["key"].to_numpy()[begins] // n_pivots**shared
+        for d in np.unique(dims[short]).tolist():  # vectors of one length at a time
+            some = short & (dims == d)
+            yield small(t.filter(pa.array(np.repeat(some, sizes))), sizes[some])
         for at, n in zip(begins[sizes > SMALL_LIST].tolist(), sizes[sizes > SMALL_LIST].tolist()):
             if (out := cell(t.slice(at, n))) is not None:
                 yield out
@@ -154,18 +167,26 @@ def link_cells(batches: Iterator[pa.RecordBatch], min_cosine: float, n_pivots: i
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE,
-                 n_pivots: int = PIVOTS, length: int = PREFIX, shared: int = SHARED) -> DataFrame:
+                 n_pivots: int | None = None, length: int | None = None, shared: int = SHARED) -> DataFrame:
     """One row per row: vec_id, n_links (other rows linked directly), component_id (smallest
     vec_id reachable, its own included), kept (vec_id = component_id).
 
     Links have cosine >= `min_cosine`; the index finds nearly all of them (recall is measured
-    in the tests) and never another.  Null, empty and zero vectors and those with null or
-    non-finite components link with nothing.  Vectors of different lengths don't link.  Rows
-    that repeat an id count as rows; an empty table gives no rows; other columns are ignored."""
+    in the tests) and never another.  `n_pivots` and `length` follow the number of distinct vectors
+    unless given.  Null, empty and zero vectors and those with null or non-finite components link
+    with nothing.  Vectors of different lengths don't link.  Rows that repeat an id count as rows.  A row
+    with a null id links and counts like any; its group takes the smallest other id, and a group of
+    null ids alone has component null and all its rows are kept, as no id tells them apart.  An
+    empty table gives no rows; other columns are ignored."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    valid = F.coalesce(F.col("v").isNotNull() & good, F.lit(False)) & F.col("vec_id").isNotNull()
-    distinct = written(rows.where(valid).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    valid = F.coalesce(F.col("v").isNotNull() & good, F.lit(False))
+    # numbered when written: ids may repeat or be null, so a distinct vector has a number of its own
+    distinct = written(rows.where(valid).groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")).withColumn(
+        "rep", F.monotonically_increasing_id()), "vectors")
+    if n_pivots is None:
+        n_pivots, length = index_size(distinct.count())
+    length = length or PREFIX
 
     # a sample of bounded size: the vectors with the least hashes
     sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(8 * n_pivots).collect()
@@ -197,7 +218,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cells = posts.join(lists, "key").withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "rep", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    full = cells.join(index.select("rep", "prefix"), "rep").join(distinct, "rep")
+    full = cells.join(index.select("rep", "prefix"), "rep").join(distinct.select("rep", "copies", "v"), "rep")
     full = full.select("key", "bi", "bj", "block", "rep", "copies", "prefix", "v")
     full = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
@@ -207,12 +228,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = written(full.mapInArrow(run, "rep long, n long, root long"), "vector-links")
     groups = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
-    by_vector = distinct.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select(
-        F.col("v").alias("same"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("c"))
+    labelled = distinct.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
+    least = labelled.groupBy("c").agg(F.min("first_id").alias("least_id"))
+    by_vector = labelled.join(least, "c").select(
+        F.col("v").alias("same"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), "least_id")
     out = rows.withColumn("valid", valid).join(by_vector, F.col("valid") & (F.col("v") == F.col("same")), "left")
-    component = F.coalesce("c", "vec_id")
+    component = F.coalesce("least_id", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      (F.col("vec_id") == component).alias("kept"))
+                      F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 @register("op1_pivot_permutation")
