@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, embeddings, linededup, mixing, packing, pii, quality, sharding, simhash, simple8b, toolcalls
-from textloom.llm.common import scratch
+from textloom.llm.common import running_sums, scratch
 from textloom.llm.components import components
 from textloom.llm.texts import text_key
 
@@ -51,7 +51,8 @@ def brute_links(vectors):
     return linked
 
 
-def test_pivot_index_recall_and_precision_at_the_threshold(spark):
+@pytest.mark.parametrize("n_pivots,length", [(256, 7), (1024, 9)])
+def test_pivot_index_recall_and_precision_at_the_threshold(spark, n_pivots, length):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 24))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -63,7 +64,8 @@ def test_pivot_index_recall_and_precision_at_the_threshold(spark):
         rows.append(cos * base + np.sqrt(1 - cos * cos) * noise)
     x = np.concatenate(rows)
     want = brute_links(x)
-    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rep int")).orderBy("vec_id").collect()
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rep int"),
+                                  n_pivots=n_pivots, length=length).orderBy("vec_id").collect()
     n = np.array([r.n_links for r in got])
     assert (n <= want.sum(1)).all() and n.sum() >= 0.9 * want.sum()
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
@@ -85,6 +87,46 @@ def test_pivot_index_long_lists_equal_vectors_and_bad_rows(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def slow_groups(rows):
+    """Links, component and kept of every row by brute force."""
+    good = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else None for (_, v), g in zip(rows, good)]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if good[a] and good[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    root = brute_components(range(len(rows)), linked)
+    ids = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            ids[root[n]] = min(i, ids.get(root[n], i))
+    count = np.bincount([x for pair in linked for x in pair], minlength=len(rows))
+    return sorted(((i, int(count[n]), ids.get(root[n]), i == ids.get(root[n])) for n, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_vectors_of_mixed_lengths_repeated_and_null_ids_match_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, dim in enumerate((16, 8, 16, 8, 3)):
+        centre = rng.normal(size=dim)
+        rows += [(100 * n + i % 7, (centre + 0.03 * rng.normal(size=dim)).tolist()) for i in range(12)]
+    rows += [(None, rows[0][1]), (None, (np.array(rows[0][1]) * 2).tolist()), (None, [5.0, 1.0, 0.0, 2.0]), (None, [5.0, 1.0, 0.0, 2.1]), (None, None)]
+    rows += [(5, [1.0, 0.0, 0.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.01, 0.0, 0.0])] + [(900, [0.0] * 8), (901, [None, 1.0]), (902, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = embeddings.op1(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == slow_groups(rows)
+
+
+def test_links_of_a_whole_table_match_brute_force(spark):
+    from conftest import SF_SMALL
+
+    table = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = slow_groups([(r.vec_id, r.embedding) for r in table])
+    got = sorted(map(tuple, embeddings.op1(spark, SF_SMALL).collect()), key=repr)
+    assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want) and sum(r == w for r, w in zip(got, want)) >= 0.95 * len(want)
+
+
+def test_pivots_grow_with_the_rows():
+    assert embeddings.index_size(10) == (256, 7) and embeddings.index_size(1 << 19) == (512, 9) and embeddings.index_size(10**12)[0] == 4096
+
+
 # ---------------------------------------------------------------- 2 SimHash
 
 def slow_fingerprint(text, n=4):
@@ -259,7 +301,6 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(bpe.default_tokenizer_path())
-    plain.encode_special_tokens = True
     ours = bpe.Encoder(bpe.default_tokenizer_path())
     random.seed(4)
     letters = "aéß.,'!? \n1²日 s t ll\x1c ªʰ"
@@ -546,3 +587,23 @@ def test_token_file_is_rejected_if_damaged():
 def test_digest_of_spans(spark):
     row = pii.personal_data(docs(spark, [(1, "me@x.org 10.0.0.1 ip", "a")])).select(pii.spans_text(F.col("base")).alias("s")).first()
     assert row.s == "email:0:8,ip:9:17" and hashlib.sha256(row.s.encode()).hexdigest()
+
+
+def test_hot_copies_with_null_ids_are_cut_and_balanced(spark):
+    random.seed(12)
+    rows = [(None, "the very same text of all these rows", "a")] * 4000 + [(i, f"{i} other " + "x" * random.randint(5, 60), "b") for i in range(4000)]
+    got = sharding.shard_rows(docs(spark, rows)).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(got) == 8000 and len(size) == 24 and size.max() <= 1.01 * size.mean() and size.min() >= 0.99 * size.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
+def test_running_sums_over_many_buckets_and_null_keys(spark):
+    rows = [(None if i % 3 == 0 else "k", (i * 7919) % 5003, i % 5) for i in range(5003)]
+    df = spark.createDataFrame(rows, "key string, place long, n long")
+    got = running_sums(df, ["key"], [F.col("place")], F.floor(F.col("place") / 2), {"before": "n", "rows_before": "n"}).collect()
+    sums = {}
+    for key, place, n in sorted(rows, key=lambda r: r[1]):
+        sums[(key, place)] = sums.get(key, 0)
+        sums[key] = sums.get(key, 0) + n
+    assert len(got) == 5003 and all(r.before == sums[(r.key, r.place)] for r in got)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 WORD = r"[^\x20\x09-\x0D]+"
+BUCKETS_PER_RUN = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,23 +80,31 @@ def words_in(text: Column) -> Column:
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, sums: dict[str, str]) -> DataFrame:
     """Sums of the rows before each row of its key (exclusive), whole keys never in one task.
 
-    `bucket` must be monotone in `order`.  Rows are summed by (key, bucket), the small table
-    of bucket sums is accumulated, and only the rows of one bucket are sorted together.
+    `bucket` must be a whole number, monotone in `order`.  Rows are summed by (key, bucket); the
+    bucket sums are accumulated in two levels, runs of `BUCKETS_PER_RUN` buckets and then the
+    buckets of a run; and only the rows of one bucket are sorted together.
     `sums` maps new column -> summed column."""
-    from pyspark.sql import Window
-
-    b = fresh(df, "bucket_")
+    b, c, key = fresh(df, "bucket_"), fresh(df, "coarse_"), fresh(df, "run_")
     df = df.withColumn(b, bucket)
     names = {f"{n}_base_": n for n in sums}
-    per = df.groupBy(*keys, b).agg(*[F.sum(c).alias(f"{n}_b_") for n, c in sums.items()])
-    w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    key = fresh(df, "run_")
-    per = per.select(F.struct(*keys, b, *[F.coalesce(F.sum(f"{n}_b_").over(w), F.lit(0)).alias(base) for base, n in names.items()]).alias(key))
-    cond = F.lit(True)
-    for k in [*keys, b]:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{key}.{k}"))
+
+    def before(parts: DataFrame, within: list[str], order: str) -> list[Column]:
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(f"{n}_b_").over(w), F.lit(0)).alias(base) for base, n in names.items()]
+
+    def same(left: list[str], right: str) -> Column:
+        cond = F.lit(True)
+        for k in left:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"{right}.{k}"))
+        return cond
+
+    per = df.groupBy(*keys, b).agg(*[F.sum(col).alias(f"{n}_b_") for n, col in sums.items()]).withColumn(c, F.floor(F.col(b) / BUCKETS_PER_RUN))
+    runs = per.groupBy(*keys, c).agg(*[F.sum(f"{n}_b_").alias(f"{n}_b_") for n in sums])
+    runs = runs.select(F.struct(*keys, c, *before(runs, keys, c)).alias("of"))
+    per = per.select(*keys, b, c, *before(per, [*keys, c], b)).join(runs, same([*keys, c], "of"))
+    per = per.select(F.struct(*keys, b, *[(F.col(base) + F.col(f"of.{base}")).alias(base) for base in names]).alias(key))
     w2 = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(per, cond, "left").select(
+    return df.join(per, same([*keys, b], key), "left").select(
         *[c for c in df.columns if c != b],
         *[(F.col(f"{key}.{base}") + F.coalesce(F.sum(sums[n]).over(w2), F.lit(0))).alias(n) for base, n in names.items()],
     )

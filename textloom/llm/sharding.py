@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 The rows of one text form a group and stay together, unless the group alone would take
-half of a shard: then it is cut into fragments by a hash of the ids.  A group or fragment is
+half of a shard: then it is cut into fragments by a hash of the rows' numbers.  A group or fragment is
 a vector of its shares of a shard's bytes, tokens and rows, and goes to the shard where
 the dot product with the residual capacity is highest.
 
@@ -48,17 +48,16 @@ def place(vectors: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, size (UTF-8 bytes and 8), text_crc32, shard, slot (gapless
-    from 0 in its shard, in the order of a hash of the id).
+    from 0 in its shard, in the order of a hash of the row's number).
 
-    A null text has no bytes and is a group of its own beside the empty text's; null ids hash
-    like one id; rows that repeat an id and a text stay together unless their group is cut,
-    and then in one fragment; an empty table gives no rows; other columns are ignored."""
+    A null text has no bytes and is a group of its own beside the empty text's; ids play no part, so
+    null and repeated ones are rows like any; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(docs.select(
         F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(F.col(text_col), 256))).alias("group"),
         (F.octet_length(text) + 8).cast("long").alias("bytes"), words_in(text).alias("tokens"), F.crc32(text).alias("text_crc32"),
-        F.xxhash64(F.col(id_col)).alias("h")), "shard-rows")
+        F.xxhash64(F.monotonically_increasing_id()).alias("h")), "shard-rows")
     total = rows.agg(F.sum("bytes"), F.sum("tokens"), F.count("*")).first()
     capacity = [max(1, x or 0) / shards for x in total]
     share = F.greatest(*[F.col(d) / F.lit(c) for d, c in zip(DIMENSIONS, capacity)])
