@@ -73,8 +73,8 @@ def _windows(lines: Column) -> Column:
 
         return F.transform(own, one)
 
-    return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda own: _let(
-        _rolling(F.transform(lines, _line_hash)), lambda rolled: rows(own, rolled)))
+    return _let(lines, lambda held: _let(F.transform(held, lambda x: F.xxhash64(x)), lambda own: _let(
+        _let(F.transform(held, _line_hash), _rolling), lambda rolled: rows(own, rolled))))
 
 
 def chunk_starts(texts: DataFrame) -> DataFrame:
