@@ -1,13 +1,13 @@
 """T07 accent stripping: Unicode NFD, then drop combining marks (category Mn).
 
-Spark SQL has no Unicode normaliser.  Nearly all letters decompose into one letter and
-marks, so a table made from the Unicode data of Python's library turns the step into one
-JVM `translate`.  Letters that decompose into several others (Hangul syllables, a few
-vowel signs) need the real thing: only texts that hold one go through an Arrow UDF.
+Spark SQL has no Unicode normaliser.  ASCII texts pass as they are, in the JVM; the others go
+through an Arrow UDF, where Python's library decomposes a whole text and one pattern made from
+its data drops the marks.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -24,43 +24,32 @@ def strip_accents_py(s: str | None) -> str | None:
 
 
 @cache
-def _tables() -> tuple[str, str, str]:
-    """(letters to replace or drop, their replacements, pattern of letters that give several)."""
-    one, to, none, several = [], [], [], []
-    for code in range(0x80, 0x110000):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        ch = chr(code)
-        bare = strip_accents_py(ch)
-        if bare == ch:
-            continue
-        if len(bare) == 1:
-            one.append(ch), to.append(bare)
-        elif not bare:
-            none.append(ch)
-        else:
-            several.append(code)
+def _marks() -> re.Pattern:
+    """The non-spacing marks."""
     runs: list[list[int]] = []
-    for code in several:
-        if runs and code == runs[-1][1] + 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    pattern = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
-    return "".join(one + none), "".join(to), pattern
+    for code in range(0x80, 0x110000):
+        if unicodedata.category(chr(code)) == "Mn":
+            if runs and code == runs[-1][1] + 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+
+
+def _strip(s: str | None) -> str | None:
+    return None if s is None else _marks().sub("", unicodedata.normalize("NFD", s))
 
 
 @F.pandas_udf(Ty.StringType())
 def _strip_accents_udf(s: pd.Series) -> pd.Series:
-    return s.map(strip_accents_py)
+    return s.map(_strip, na_action="ignore")
 
 
 def strip_accents(text) -> Column:
-    """NFD + drop Mn."""
+    """NFD + drop Mn.  `text` is best a plain column: it is read by the guard and by the UDF."""
     c = F.col(text) if isinstance(text, str) else text
-    from_, to, several = _tables()
-    hard = c.rlike(several)
-    return F.when(hard, _strip_accents_udf(F.when(hard, c))).otherwise(F.translate(c, from_, to))
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _strip_accents_udf(F.when(other, c))).otherwise(c)
 
 
 def strip_accents_tokens(tokens) -> Column:

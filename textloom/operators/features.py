@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import encode as E
 from textloom.operators import subword as SW
-from textloom.session import materialize
 
 Tokenizer = Callable[[DataFrame, str, str], DataFrame]
 
@@ -30,7 +29,7 @@ def wordpiece_tokenizer(vocab: DataFrame, clean: bool = False, do_lower_case: bo
     def run(df: DataFrame, key: str, text: str) -> DataFrame:
         source = T.clean_text_html(text) if clean else F.col(text)
         basic = SW.basic_tokenize(df.select(key, source.alias("__text")), "__text", "tokens", do_lower_case)
-        return SW.wordpiece_tokenize(materialize(basic.select(key, "tokens")), key, "tokens", vocab, "tokens")
+        return SW.wordpiece_tokenize(basic.select(key, "tokens"), key, "tokens", vocab, "tokens")
 
     return run
 

@@ -1,18 +1,22 @@
 """Basic tokenizer (T05-T11) and greedy WordPiece.
 
-The basic tokenizer is JVM expressions (an Arrow UDF sees only texts with letters
-that decompose into several).  WordPiece works on the *distinct* words: their
-stretches are joined with the vocabulary table, the longest hits are chained, and
-the pieces are joined back to the token positions.
+The basic tokenizer is JVM expressions (an Arrow UDF sees only texts that aren't ASCII).
+WordPiece splits *distinct* words: in the tasks by a vocabulary that fits there, else by joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from textloom.functions import text as T
 from textloom.functions.accents import strip_accents
+from textloom.operators.dictionary import lookup, map_arrays, small_table
 from textloom.operators.vocab import PIECE_SPECIALS
 
 # Fixed values of the WordPiece rule.
@@ -20,30 +24,65 @@ UNK_TOKEN = "[UNK]"
 MAX_INPUT_CHARS_PER_WORD = 100
 CONTINUATION = "##"
 
+KNOWN_WORDS = 1_000_000  # distinct words that a worker remembers
+
 
 def basic_tokenize(df: DataFrame, text: str, out: str, do_lower_case: bool = True) -> DataFrame:
     """Clean -> CJK spacing -> split -> (lower, strip accents) -> punctuation split,
     all on the whole string (specials protected), then one split."""
-    c = T.basic_protect(text)
-    if do_lower_case:
-        c = strip_accents(F.lower(c))
-    return df.withColumn(out, T.basic_finish(c))
+    whole = "__protected"
+    df = df.withColumn(whole, F.lower(T.basic_protect(text)) if do_lower_case else T.basic_protect(text))
+    return df.withColumn(out, T.basic_finish(strip_accents(whole) if do_lower_case else F.col(whole))).drop(whole)
+
+
+class Pieces:
+    """Greedy longest-match pieces of words, by a vocabulary that is held in memory."""
+
+    def __init__(self, tokens: Sequence[str]):
+        self.tokens = set(tokens)
+        self.first = sorted({len(t) for t in self.tokens}, reverse=True)  # lengths that occur, longest first
+        self.later = sorted({len(t) - len(CONTINUATION) for t in self.tokens if t.startswith(CONTINUATION) and len(t) > len(CONTINUATION)}, reverse=True)
+        self.known: dict[str, list[str]] = {}
+
+    def of(self, word: str) -> list[str]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            found = self.known[word] = self._split(word)
+        return found
+
+    def _split(self, word: str) -> list[str]:
+        n, at, out = len(word), 0, []
+        if n > MAX_INPUT_CHARS_PER_WORD:
+            return [UNK_TOKEN]
+        while at < n:
+            for size in self.later if at else self.first:
+                piece = CONTINUATION + word[at : at + size] if at else word[:size]
+                if at + size <= n and piece in self.tokens:
+                    break
+            else:
+                return [UNK_TOKEN]
+            out.append(piece)
+            at += size
+        return out
 
 
 def wordpiece_table(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """`(word, pieces)` for a table of distinct words.
 
-    Every stretch of a word that is no longer than the longest vocabulary entry is a candidate
-    and equi-joined with the vocabulary; the longest hit of each start is kept, and a
+    For vocabularies that are too large for a task's memory.  Every stretch of a word that has the
+    length of some vocabulary entry is a candidate and equi-joined with the vocabulary; the longest hit of each start is kept, and a
     word's hits are chained from its first character.  A word above the length limit, or
     whose chain breaks, is one unknown piece.
     """
-    top = vocab.agg(F.max(F.char_length("token"))).first()[0] or 0  # one scalar
+    lengths = sorted(r[0] for r in vocab.select(F.char_length("token").alias("n")).where(
+        F.col("n").between(1, MAX_INPUT_CHARS_PER_WORD + len(CONTINUATION))).distinct().collect())  # at most 102 numbers
+    sizes = F.array(*[F.lit(x) for x in sorted({y for x in lengths for y in (x, x - len(CONTINUATION)) if y > 0})]).cast("array<int>")
     w, n = F.col(word), F.char_length(word)
     short = words.select(word).where(n.between(1, MAX_INPUT_CHARS_PER_WORD))
     spans = short.select(word, F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    spans = spans.where(F.lit(top) > 0).withColumn(
-        "len", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(top, 1)), n - F.col("start") + 1))))
+    spans = spans.withColumn("len", F.explode(F.filter(sizes, lambda x: x <= n - F.col("start") + 1)))
     part = F.substring(w, F.col("start"), F.col("len"))
     hits = spans.withColumn("token", F.when(F.col("start") == 1, part).otherwise(F.concat(F.lit(CONTINUATION), part))).join(
         vocab.select("token").distinct(), "token")
@@ -63,19 +102,37 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, word: str = "word") -> D
     return words.select(word).join(split, word, "left").select(word, F.coalesce("__pieces", unknown).alias("pieces"))
 
 
-def wordpiece_tokenize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str) -> DataFrame:
+def wordpiece_tokenize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, most_rows: int | None = None) -> DataFrame:
     """ARRAY<STRING> of basic tokens -> ARRAY<STRING> of word pieces, per `key`.
 
-    Token occurrences are exploded once (`posexplode_outer` keeps empty rows);
-    their distinct words are split once, the pieces are equi-joined back on
-    the word and regrouped by key in token order.  Returns `key` and `out`.
+    A vocabulary of a size that tasks can hold goes to them, and each distinct word of a worker is
+    split once there: nothing is shuffled.  With a larger one the distinct words are split by joins,
+    and documents look them up by their distinct words.  Returns `key` and `out`.
     """
-    occ = df.select(key, F.posexplode_outer(tokens).alias("pos", "word"))
-    table = wordpiece_table(occ.where(F.col("word").isNotNull()).select("word").distinct(), vocab)
-    joined = occ.join(table, "word", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "pieces"))
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    return grouped.select(key, F.flatten(F.col("_p.pieces")).alias(out))
+    vocab, rows = small_table(vocab.select("token"), most_rows)
+    if rows is None:
+        words = df.select(F.explode(tokens).alias("word")).where(F.col("word").isNotNull()).distinct()
+        table = wordpiece_table(words, vocab)
+        return lookup(df, [key], tokens, table, "word", "pieces", "__p", most_rows=most_rows).select(key, F.flatten("__p").alias(out))
+    held = df.sparkSession.sparkContext.broadcast(rows["token"].to_pylist())
+    made: list[Pieces] = []
+
+    def split(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        if not made:
+            made.append(Pieces(held.value))
+        coded = values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        pieces = [made[0].of(w) for w in words]
+        begins = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
+        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.diff(begins)[ids]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[:-1][ids] - (ends - n), n)
+        text = pa.array([x for p in pieces for x in p], pa.string()).take(pa.array(place))
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+        return text, np.diff(upto)
+
+    return map_arrays(df, [key], tokens, out, Ty.StringType(), split)
 
 
 def piece_vocab(basic_tokens: DataFrame, tokens: str = "tokens", n_words: int = 2000) -> DataFrame:

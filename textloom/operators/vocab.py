@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.dictionary import lookup
 from textloom.operators.rank import exact_rank
 
 # ---------------------------------------------------------------------------
@@ -77,21 +78,13 @@ def lookup_ids(
     out: str = "ids",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """ARRAY<STRING> -> ARRAY<LONG> through an equi-join with the vocabulary.
-
-    Tokens are exploded with their position (`posexplode_outer`, so an empty
-    array still yields its row), joined on `token` -- AQE broadcasts the
-    vocabulary when it is small at run time and splits skewed partitions
-    otherwise -- and regrouped in position order per `key`.  Unknown tokens
-    map to `unk_id`.  Returns `key`, the `carry` columns (small, functionally
-    dependent on `key`) and `out`; the input is read once, never joined back.
+    """ARRAY<STRING> -> ARRAY<LONG> by the vocabulary, as a dictionary in the tasks or
+    through a join, whichever its measured size allows (`operators.dictionary`).
+
+    Unknown tokens map to `unk_id`; a null or empty array gives an empty one.  Returns `key`, the
+    `carry` columns and `out`.
     """
-    exploded = tokens_df.select(key, *carry, F.posexplode_outer(tokens).alias("pos", "token"))
-    v = vocab.select("token", F.col("id").alias("_id"))
-    joined = exploded.join(v, "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(unk_id)).cast("long").alias("id")))
-    regrouped = joined.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    return regrouped.select(key, *carry, F.col("_p.id").alias(out))
+    return lookup(tokens_df, [key, *carry], tokens, vocab.select("token", F.col("id").cast("long").alias("id")), "token", "id", out, unk_id)
 
 
 def unknown_tokens(tokens_df: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -110,8 +103,4 @@ def strict_ids(tokens_df: DataFrame, vocab: DataFrame, key: str, tokens: str = "
 def lookup_tokens(ids_df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", out: str = "tokens",
                   carry: Sequence[str] = ()) -> DataFrame:
     """ARRAY<LONG> -> ARRAY<STRING> (inverse of `lookup_ids`; unknown ids -> null)."""
-    exploded = ids_df.select(key, *carry, F.posexplode_outer(ids).alias("pos", "id"))
-    joined = exploded.join(vocab.select("id", "token"), "id", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
-    regrouped = joined.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    return regrouped.select(key, *carry, F.col("_p.token").alias(out))
+    return lookup(ids_df, [key, *carry], ids, vocab.select(F.col("id").cast("long").alias("id"), "token"), "id", "token", out)
