@@ -24,20 +24,26 @@ def strip_accents_py(s: str | None) -> str | None:
 
 
 @cache
-def _marks() -> re.Pattern:
-    """The non-spacing marks."""
-    runs: list[list[int]] = []
+def _marks() -> tuple[re.Pattern, re.Pattern]:
+    """The non-spacing marks below U+10000 (a set that `re` looks up at once), and those above."""
+    runs: tuple[list, list] = ([], [])
     for code in range(0x80, 0x110000):
         if unicodedata.category(chr(code)) == "Mn":
-            if runs and code == runs[-1][1] + 1:
-                runs[-1][1] = code
+            part = runs[code > 0xFFFF]
+            if part and code == part[-1][1] + 1:
+                part[-1][1] = code
             else:
-                runs.append([code, code])
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+                part.append([code, code])
+    low, high = ("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in part) + "]+" for part in runs)
+    return re.compile(low), re.compile(high)
 
 
 def _strip(s: str | None) -> str | None:
-    return None if s is None else _marks().sub("", unicodedata.normalize("NFD", s))
+    if s is None or s.isascii():
+        return s
+    low, high = _marks()
+    s = low.sub("", unicodedata.normalize("NFD", s))
+    return high.sub("", s) if s and max(s) > "\uffff" else s
 
 
 @F.pandas_udf(Ty.StringType())

@@ -18,6 +18,7 @@ from textloom.functions import text as T
 from textloom.functions.accents import strip_accents
 from textloom.operators.dictionary import lookup, map_arrays, small_table
 from textloom.operators.vocab import PIECE_SPECIALS
+from textloom.session import materialize
 
 # Fixed values of the WordPiece rule.
 UNK_TOKEN = "[UNK]"
@@ -146,7 +147,7 @@ def piece_vocab(basic_tokens: DataFrame, tokens: str = "tokens", n_words: int =
     """
     spark = basic_tokens.sparkSession
     words = basic_tokens.select(F.explode(tokens).alias("word"))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    freq = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")))  # read four times below
     chars = (
         freq.select(F.explode(F.regexp_extract_all("word", F.lit("(?s)(.)"), 1)).alias("c"))
         .distinct()

@@ -12,6 +12,7 @@ from textloom.plans.registry import register
 from textloom.session import scratch_path
 from textloom.sources import files as FS
 from textloom.sources import tables as tb
+from textloom.sources.parallel_csv import read_csv_parallel
 
 LABELS = tb.LABELS
 
@@ -133,6 +134,19 @@ def src_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register(
+    "src_csv_parallel",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars, lang, source FROM documents",
+)
+def src_csv_parallel(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as a quoted, multi-line CSV, each file read by as many tasks as it has splits."""
+    docs = tb.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment_text"), "lang", "source")
+    path = scratch_path(spark, "documents-csv")
+    FS.write_csv(docs, path, header=True)
+    back = read_csv_parallel(spark, path, docs.schema)
+    return back.select("id", F.md5("comment_text").alias("text_md5"), F.char_length("comment_text").cast("long").alias("n_chars"), "lang", "source")
+
+
 @register(
     "prep_reformat",
     tb.sql_with("six_labels", "test_comments")

@@ -8,7 +8,7 @@ spaces (Spark trims them by default when writing CSV).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -43,22 +43,34 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
     df.write.mode(mode).options(**CSV_OPTIONS).option("header", str(header).lower()).csv(path)
 
 
-def write_lines(df: DataFrame, col: str, order: str, path: str) -> None:
-    """One value per line, in `order`, as a single text file (vocabulary-sized data only)."""
-    df.orderBy(order).select(F.col(col).cast("string")).coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, col: str, order: str, path: str, single: bool = False) -> None:
+    """One value per line, in `order`: range-sorted part files, or one file for an export that asks for it."""
+    lines = df.orderBy(order).select(F.col(col).cast("string"))
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, m): the lines of text files, in any number of tasks.  (file, block) is the
+    split that a line begins in, and m rises by 1 from line to line of a split."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("m"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the lines of the files under `path`, in the order of their names, numbered from 0.
+
+    Each split counts its lines; the sums of the counts before a split, a small table, are its offset."""
+    lines = split_lines(spark, path)
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    before = Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(splits, ["file", "block"]).select("value", (F.col("m") + F.col("shift")).alias("line"))
 
 
 def read_vocab_file(spark: SparkSession, path: str) -> DataFrame:
-    """Vocabulary file, id = 0-based line number, each line stripped.
-
-    Read as whole text so that line order is kept (a split text scan does not
-    carry line numbers); a vocabulary file is bounded by the vocabulary size.
-    """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("id", "line"), F.size(F.split("value", "\n")).alias("n"))
-    # drop only the empty element after a final newline
-    lines = lines.where(~((F.col("id") == F.col("n") - 1) & (F.col("line") == "")))
-    return lines.select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("token"), F.col("id").cast("long").alias("id"))
+    """Vocabulary file or folder of part files, id = 0-based line number over all of them, each line stripped."""
+    return numbered_lines(spark, path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("token"), F.col("line").alias("id"))
 
 
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
