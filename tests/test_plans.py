@@ -10,8 +10,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 QUERIES = E.queries()
-# letters that decompose into several are the only Python step of the registered queries
-ARROW_ALLOWED = {"text_strip_accents", "tokenize_basic", "tokenize_wordpiece", "src_vocab_file", "encode_wordpiece_single", "encode_wordpiece_pair"}
+# accents of texts that aren't ASCII, and a user's own model, are the only Arrow UDFs of the registered queries
+ARROW_ALLOWED = {"score_batch_model", "text_strip_accents", "tokenize_basic", "tokenize_wordpiece", "src_vocab_file", "encode_wordpiece_single", "encode_wordpiece_pair"}
 
 
 def _plan(df) -> str:

@@ -29,6 +29,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from textloom.plans import (  # noqa: F401
+        bag_plans,
         bayes_plans,
         embed_plans,
         encode_plans,
