@@ -95,3 +95,15 @@ def test_word_pieces_agree_on_both_ways(spark, most_rows):
 def test_large_tables_are_measured(spark):
     table = spark.range(100).select(F.col("id").cast("string").alias("t"), "id")
     assert D.small_table(table)[1].num_rows == 100 and D.small_table(table, most_rows=99)[1] is None and D.small_table(table, most_bytes=100)[1] is None
+
+
+@pytest.mark.parametrize("masked", [False, True])
+def test_mean_pool_agrees_on_both_ways(spark, masked):
+    from textloom.operators.embed import mean_pool
+
+    vectors = spark.createDataFrame([(0, [0.5, 1.0]), (1, [1.0, 2.0]), (2, [3.0, -1.0])], "id long, vec array<float>")
+    rows = [(i, [1, 2, 9, 2][: i % 5] + [0] * (4 - i % 5), i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, ids array<long>, n int")
+    one, two = ({r.k: [round(x, 9) for x in r.pooled] for r in mean_pool(df, "k", "ids", "n", vectors, 4, 2, masked, 0, most).collect()} for most in (None, 0))
+    assert one == two and len(one) == 600
+    assert one[2] == ([2.0, 0.5] if masked else [(4.0 + 1.0) / 4, (1.0 + 2.0) / 4]) and one[0] == ([0.0, 0.0] if masked else [0.5, 1.0])

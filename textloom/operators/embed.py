@@ -1,18 +1,26 @@
 """Embedding lookup and pooling.
 
-Vectors are attached to the vocabulary (bounded by vocabulary size) and then
-joined to token ids; pooling is a grouped `Summarizer` aggregate (partial +
-final, JVM-side).  Padding positions are not exploded: every padding position
+Vectors are attached to the vocabulary (bounded by vocabulary size).  Pooling sums
+them in the tasks if their measured size allows, else by a join and a grouped
+`Summarizer` aggregate.  Padding positions are not exploded: every padding position
 holds the same vector, so the mean over all positions adds `n_pad * pad_vec`
 analytically.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+from textloom.operators.dictionary import map_arrays, small_table
+
+ROWS_AT_ONCE = 256  # rows whose vectors are gathered together
 
 
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -22,23 +30,51 @@ def attach_vectors(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return j.select("token", "id", F.coalesce("__v", zeros).alias("vec"), F.col("__v").isNotNull().cast("int").alias("has_vec"))
 
 
+def _vector_sums(df: DataFrame, vectors: pa.Table, dim: int):
+    """Arrays of ids -> the sums of their vectors; an id without a vector adds nothing."""
+    table = np.zeros((vectors.num_rows + 1, dim))
+    if vectors.num_rows:
+        table[:-1] = np.array(vectors["vec"].to_pylist(), dtype=np.float64)
+    held = df.sparkSession.sparkContext.broadcast((vectors["id"].combine_chunks(), table))
+
+    def work(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        ids, table = held.value
+        at = pc.fill_null(pc.index_in(values.cast(ids.type), value_set=ids, skip_nulls=True), len(table) - 1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        out = np.zeros((len(sizes), dim))
+        for lo in range(0, len(sizes), ROWS_AT_ONCE):
+            some = slice(lo, lo + ROWS_AT_ONCE)
+            full = np.flatnonzero(sizes[some])
+            if len(full):
+                begin = ends[lo] - sizes[lo]
+                picked = table[at[begin : ends[some][-1]]]
+                out[lo + full] = np.add.reduceat(picked, (ends[some] - sizes[some] - begin)[full], axis=0)
+        return pa.array(out.reshape(-1)), np.full(len(sizes), dim)
+
+    return work
+
+
 def mean_pool(df: DataFrame, key: str, ids: str, length: str, id_vectors: DataFrame, max_len: int, dim: int,
-              masked: bool = False, pad_id: int = 0) -> DataFrame:
+              masked: bool = False, pad_id: int = 0, most_rows: int | None = None) -> DataFrame:
     """Mean of the token vectors of each row.
 
     masked=False divides by max_len and counts padding positions (as the
     reference's mean over the hidden states); masked=True averages the first
-    `length` positions only (none: zeros).  One pass over `df`: real positions are exploded
-    (`posexplode_outer` keeps a row without any), joined to their vectors and
-    summed per row by a grouped `Summarizer` that carries the length along.
-    Adds `pooled ARRAY<DOUBLE>`.
+    `length` positions only (none: zeros).  One pass over `df`: vectors that fit into a task by their
+    measured size are summed there, without a shuffle; else real positions are exploded
+    (`posexplode_outer` keeps a row without any), joined to their vectors and summed per row by a
+    grouped `Summarizer` that carries the length along.  Gives `key` and `pooled ARRAY<DOUBLE>`.
     """
-    zeros_f = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    real = df.select(key, F.col(length).alias("__len"),
-                     F.posexplode_outer(F.slice(F.col(ids), 1, F.col(length))).alias("pos", "id"))
-    j = real.join(id_vectors.select("id", F.col("vec").alias("__vec")), "id", "left")
-    sums = j.groupBy(key, "__len").agg(Summarizer.sum(array_to_vector(F.coalesce("__vec", zeros_f))).alias("__s"))
-    base = sums.select(key, "__len", vector_to_array("__s").alias("__sum"))
+    id_vectors, held = small_table(id_vectors.select("id", "vec"), most_rows)
+    real = df.select(key, F.col(length).alias("__len"), F.slice(F.col(ids), 1, F.col(length)).alias("__ids"))
+    if held is not None:
+        base = map_arrays(real, [key, "__len"], "__ids", "__sum", Ty.DoubleType(), _vector_sums(real, held, dim))
+    else:
+        zeros_f = F.array_repeat(F.lit(0.0).cast("float"), dim)
+        places = real.select(key, "__len", F.posexplode_outer("__ids").alias("pos", "id"))
+        j = places.join(id_vectors.select("id", F.col("vec").alias("__vec")), "id", "left")
+        sums = j.groupBy(key, "__len").agg(Summarizer.sum(array_to_vector(F.coalesce("__vec", zeros_f))).alias("__s"))
+        base = sums.select(key, "__len", vector_to_array("__s").alias("__sum"))
     s = F.col("__sum")
     if masked:
         pooled = F.transform(s, lambda x: x / F.greatest(F.col("__len"), F.lit(1)))
