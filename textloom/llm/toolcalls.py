@@ -12,10 +12,11 @@ keys, no spaces).  Messages stay rows: no conversation is gathered into one task
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import read_table, running_sums, written
@@ -25,34 +26,99 @@ MESSAGES_PER_RUN = 4096
 
 #: Tools known to the query; any mapping of the same form can be given.
 TOOL_SCHEMAS = {
-    "search": {"required": ["query"], "properties": {"query": "string", "limit": "integer"}},
-    "calculate": {"required": ["expression"], "properties": {"expression": "string"}},
+    "search": {
+        "required": ["query"],
+        "properties": {
+            "query": {"type": "string"},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 100},
+            "filters": {"type": "object", "properties": {
+                "lang": {"type": "string", "enum": ["de", "en", "es", "fr"]},
+                "tags": {"type": "array", "items": {"type": "string"}}}},
+        },
+    },
+    "calculate": {
+        "required": ["expression"],
+        "properties": {"expression": {"type": "string", "minLength": 1}, "precision": {"type": "integer", "minimum": 0, "maximum": 15}},
+    },
 }
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """JSON with sorted keys and no spaces; halves of surrogate pairs stay escapes."""
+    out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
+
+
+def parsed(text: str):
+    """The value of a JSON text, None if it is none, holds NaN or an infinity, or nests too deep."""
+    def refuse(_):
+        raise ValueError
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _is(value, kind: str) -> bool:
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def _same(a, b) -> bool:
+    return canonical(a) == canonical(b)
+
+
+def schema_errors(value, schema: dict, path: str) -> Iterator[str]:
+    """What breaks `schema` in `value`, outer before inner: type (one or several), enum, minimum, maximum, minLength,
+    maxLength, minItems, maxItems, items, required, properties and additionalProperties (false unless given).
+    A reference to another call's result fits everywhere."""
+    if isinstance(value, dict) and set(value) == {"$ref"}:
+        return
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        yield f"{path} is no {' or '.join(kinds)}"
+        return
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]):
+        yield f"{path} is none of its values"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value):
+            yield f"{path} is too small"
+        if value > schema.get("maximum", value):
+            yield f"{path} is too large"
+    if isinstance(value, (str, list)):
+        low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+        if len(value) < schema.get(low, 0):
+            yield f"{path} is too short"
+        if len(value) > schema.get(high, len(value)):
+            yield f"{path} is too long"
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            yield from schema_errors(v, schema["items"], f"{path}[{i}]")
+    if isinstance(value, dict):
+        inner, more = schema.get("properties", {}), schema.get("additionalProperties", "properties" not in schema)
+        at = f"{path}." if path else ""
+        yield from (f"missing {at}{k}" for k in sorted(schema.get("required", ())) if k not in value)
+        for k in sorted(value):
+            if k in inner:
+                yield from schema_errors(value[k], inner[k], f"{at}{k}")
+            elif more is False:
+                yield f"unknown {at}{k}"
+            elif isinstance(more, dict):
+                yield from schema_errors(value[k], more, f"{at}{k}")
 
 
 def argument_errors(name: str, arguments, schemas: dict) -> list[str]:
     """What is wrong with a call's arguments, in a fixed order."""
-    schema = schemas.get(name)
-    if schema is None:
+    if name not in schemas:
         return [f"unknown tool {name}"]
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
-    out = [f"missing {k}" for k in sorted(schema.get("required", ())) if k not in arguments]
-    known = schema.get("properties", {})
-    for key in sorted(arguments):
-        value, kind = arguments[key], known.get(key)
-        if isinstance(value, dict) and set(value) == {"$ref"}:
-            continue
-        if kind is None:
-            out.append(f"unknown {key}")
-        elif not isinstance(value, _TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number")):
-            out.append(f"{key} is no {kind}")
-    return out
+    return list(schema_errors(arguments, {"properties": {}, **schemas[name], "type": "object"}, ""))
 
 
 def _refs(value) -> Iterator[str]:
@@ -67,33 +133,41 @@ def _refs(value) -> Iterator[str]:
 
 
 def parse_message(role: str | None, text: str | None, schemas: dict) -> tuple[str, list[str], str | None, list[str], list[str]]:
-    """(canonical JSON, call ids, answered call id, referred call ids, errors)."""
-    body = None
-    if text and role in ("assistant", "tool") and text.lstrip()[:1] == "{":
-        try:
-            body = json.loads(text)
-        except (ValueError, RecursionError):
-            body = None
-    calls = body.get("tool_calls") if isinstance(body, dict) and role == "assistant" else None
+    """(canonical JSON, call ids, answered call id, referred call ids, errors).
+
+    A text that is no such JSON, nests too deep to be read or names identifiers that are no Unicode is plain content."""
+    try:
+        out = _tool_message(role, text, schemas)
+        if out is not None:
+            "".join([*out[1], out[2] or "", *out[3], *out[4]]).encode()
+            return out
+    except (RecursionError, UnicodeEncodeError):
+        pass
+    return canonical({"content": text, "role": role}), [], None, [], []
+
+
+def _tool_message(role: str | None, text: str | None, schemas: dict) -> tuple | None:
+    body = parsed(text) if text and role in ("assistant", "tool") and text.lstrip()[:1] == "{" else None
+    if not isinstance(body, dict):
+        return None
+    calls = body.get("tool_calls") if role == "assistant" else None
     if isinstance(calls, list) and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
-        out, errors, refs = [], [], []
+        out, errors, refs = [], [], set()
         for c in calls:
             arguments = c.get("arguments")
             if isinstance(arguments, str):
-                try:
-                    arguments = json.loads(arguments)
-                except (ValueError, RecursionError):
-                    pass
+                inner = parsed(arguments)
+                arguments = arguments if inner is None else inner
             name = str(c.get("name"))
             errors += [f"{c['id']}: {e}" for e in argument_errors(name, arguments, schemas)]
-            refs += sorted(set(_refs(arguments)))
+            refs.update(_refs(arguments))
             out.append({"arguments": arguments, "id": c["id"], "name": name})
         message = {"content": body.get("content"), "role": role, "tool_calls": out}
-        return canonical(message), [c["id"] for c in calls], None, sorted(set(refs)), errors
-    if isinstance(body, dict) and role == "tool" and isinstance(body.get("tool_call_id"), str):
+        return canonical(message), [c["id"] for c in calls], None, sorted(refs), errors
+    if role == "tool" and isinstance(body.get("tool_call_id"), str):
         message = {"content": body.get("content"), "role": role, "tool_call_id": body["tool_call_id"]}
         return canonical(message), [], body["tool_call_id"], [], []
-    return canonical({"content": text, "role": role}), [], None, [], []
+    return None
 
 
 def format_chats(turns: DataFrame, schemas: dict | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -187,15 +261,87 @@ def _settle(places: DataFrame, before: DataFrame) -> tuple[DataFrame, dict]:
     return places, {}
 
 
+def tool_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): the given turns, numbered 0, 4, 8, ..., and behind each of the assistant's a message
+    that calls tools, with a result for most calls.
+
+    The kind of call follows from k = (31 * conv_id + 7 * turn) mod 10: sound calls (0); wrong types and a missing
+    argument (1); a number out of range and no result (2); an unknown tool (3); errors in nested values (4); arguments
+    as text, and a result that comes before its call (5); a reference to the result of the call two turns on, in turns
+    0 and 1 of every four (6); an unknown argument (7); a result for a call that isn't there (8); two calls in one
+    message, one without a result (9)."""
+    def quoted(value) -> Column:
+        whole = F.to_json(F.struct(value.alias("a")), {"ignoreNullFields": "false"})
+        return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+    at, text = F.col("turn"), quoted(F.col("text"))
+    key = (F.coalesce(F.col("conv_id"), F.lit(0)) * 31 + F.coalesce(at, F.lit(0)) * 7) % 10
+    plain = F.concat(F.lit('{"query":'), text, F.lit("}"))
+    arguments = (F.when(F.col("k") == 0, F.concat(F.lit('{"query":'), text, F.lit(',"limit":'), at + 1, F.lit("}")))
+                 .when(F.col("k") == 1, F.lit('{"limit":"5"}'))
+                 .when(F.col("k") == 2, F.concat(F.lit('{"precision":40,"expression":"1+'), at, F.lit('"}')))
+                 .when(F.col("k") == 4, F.concat(F.lit('{"query":'), text, F.lit(',"filters":{"tags":["a",1],"lang":"xx"}}')))
+                 .when(F.col("k") == 5, quoted(plain))
+                 .when((F.col("k") == 6) & (at % 4 < 2), F.concat(F.lit('{"query":{"$ref":"c'), at + 2, F.lit('"}}')))
+                 .when(F.col("k") == 7, F.concat(F.lit('{"query":'), text, F.lit(',"colour":1}')))
+                 .otherwise(plain))
+    name = F.when(F.col("k") == 2, "calculate").when(F.col("k") == 3, "paint").otherwise("search")
+    second = F.when(F.col("k") == 9, F.concat(F.lit(',{"name":"calculate","id":"d'), at, F.lit('","arguments":{"expression":"2"}}'))).otherwise("")
+    call = F.concat(F.lit('{"tool_calls":[{"id":"c'), at, F.lit('","name":"'), name, F.lit('","arguments":'), arguments, F.lit("}"), second, F.lit("]}"))
+    answered = F.when(F.col("k") == 8, F.concat(F.lit("x"), at)).when(F.col("k") != 2, F.concat(F.lit("c"), at))
+    result = F.concat(F.lit('{"tool_call_id":"'), answered, F.lit('","content":"'), F.coalesce(F.length("text"), F.lit(0)), F.lit(' characters"}'))
+    rows = F.array(
+        F.struct((at * 4).alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")),
+        F.when(F.col("role") == "assistant", F.struct((at * 4 + 1).alias("turn"), F.lit("assistant").alias("role"), call.alias("text"))),
+        F.when((F.col("role") == "assistant") & result.isNotNull(),
+               F.struct((at * 4 + F.when(F.col("k") == 5, -1).otherwise(2)).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))))
+    return turns.withColumn("k", key).select("conv_id", F.explode(rows).alias("row")).where("row is not null").select("conv_id", "row.*")
+
+
 SQL = """
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
-  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json,
-  0::BIGINT AS n_calls, 0::BIGINT AS linked, 0::BIGINT AS n_errors
-FROM conversations
+WITH a AS (
+  SELECT conv_id, turn AS t, (31 * conv_id + 7 * turn) % 10 AS k, coalesce(to_json(text)::VARCHAR, 'null') AS q, text,
+    (text IS NULL)::BIGINT AS gap
+  FROM conversations WHERE role = 'assistant'),
+b AS (
+  SELECT a.*, a.k = 6 AND a.t % 4 < 2 AS refers, a.k NOT IN (2, 8) AS answered,
+    CASE WHEN a.k = 6 AND a.t % 4 < 2 AND n.k NOT IN (2, 8)
+      THEN CASE WHEN n.k = 5 THEN (4 * n.t + 1) * 16 + 2 ELSE (4 * n.t + 2) * 16 + 1 END
+      ELSE (4 * a.t + 1) * 16 END AS call_at
+  FROM a LEFT JOIN a AS n ON n.conv_id = a.conv_id AND n.t = a.t + 2),
+m AS (
+  SELECT conv_id, 4 * turn AS turn, 4 * turn * 16 AS place,
+    '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json,
+    0 AS n_calls, 0 AS linked, 0 AS n_errors
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, 4 * t + 1, call_at,
+    '{"content":null,"role":"assistant","tool_calls":[{"arguments":'
+    || CASE WHEN k = 0 THEN '{"limit":' || (t + 1) || ',"query":' || q || '}'
+            WHEN k = 1 THEN '{"limit":"5"}'
+            WHEN k = 2 THEN '{"expression":"1+' || t || '","precision":40}'
+            WHEN k = 4 THEN '{"filters":{"lang":"xx","tags":["a",1]},"query":' || q || '}'
+            WHEN refers THEN '{"query":{"$ref":"c' || (t + 2) || '"}}'
+            WHEN k = 7 THEN '{"colour":1,"query":' || q || '}'
+            ELSE '{"query":' || q || '}' END
+    || ',"id":"c' || t || '","name":"' || CASE k WHEN 2 THEN 'calculate' WHEN 3 THEN 'paint' ELSE 'search' END || '"}'
+    || CASE WHEN k = 9 THEN ',{"arguments":{"expression":"2"},"id":"d' || t || '","name":"calculate"}' ELSE '' END || ']}',
+    CASE WHEN k = 9 THEN 2 ELSE 1 END, answered::BIGINT,
+    CASE WHEN k IN (1, 2) THEN 2 WHEN k = 3 THEN 1 WHEN refers THEN 0 WHEN k = 4 THEN 2 + gap WHEN k IN (7, 8, 9) THEN 1 + gap ELSE gap END
+  FROM b
+  UNION ALL
+  SELECT conv_id, CASE WHEN k = 5 THEN 4 * t - 1 ELSE 4 * t + 2 END, greatest((4 * t + CASE WHEN k = 5 THEN -1 ELSE 2 END) * 16, CASE WHEN k = 8 THEN 0 ELSE call_at + 1 END),
+    '{"content":"' || coalesce(length(text), 0) || ' characters","role":"tool","tool_call_id":"' || CASE WHEN k = 8 THEN 'x' ELSE 'c' END || t || '"}',
+    0, (k <> 8)::BIGINT, (k = 8)::BIGINT
+  FROM b WHERE k <> 2)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY place, turn) - 1 AS position, json,
+  n_calls::BIGINT AS n_calls, linked::BIGINT AS linked, n_errors::BIGINT AS n_errors
+FROM m
 """
 
 
 @register("op6_tool_call_linking", SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = format_chats(read_table(spark, sf_dir, "conversations"))
+    """The conversations with calls and results by a fixed rule (`tool_turns`), as the given table holds none."""
+    got = format_chats(tool_turns(read_table(spark, sf_dir, "conversations")))
     return got.select("conv_id", "turn", "position", "json", "n_calls", "linked", F.size("errors").cast("long").alias("n_errors"))
