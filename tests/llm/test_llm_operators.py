@@ -442,10 +442,31 @@ def test_repetition_equals_brute_force():
         assert row[4:7] == brute_repeats((text or "").split(), 4)
 
 
-def test_maximal_repeats():
-    words = "x a b c d y a b c d z b c".split()
-    got = quality.maximal_repeats(words, 2)
-    assert (4, [1, 6]) in got and (2, [2, 7, 11]) in got and len(got) == 2
+def maximal_repeats(words):
+    """{sequence: starts} of the sequences found twice or more that no word before or after all their places lengthens."""
+    n, found = len(words), {}
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            found.setdefault(tuple(words[i:j]), []).append(i)
+    out = {}
+    for seq, starts in found.items():
+        left = {words[s - 1] if s else None for s in starts}
+        right = {words[s + len(seq)] if s + len(seq) < n else None for s in starts}
+        if len(starts) > 1 and (len(left) > 1 or None in left) and (len(right) > 1 or None in right):
+            out[seq] = starts
+    return out
+
+
+def test_spans_are_those_of_maximal_repeats():
+    got = maximal_repeats("x a b c d y a b c d z b c".split())
+    assert got == {("a", "b", "c", "d"): [1, 6], ("b", "c"): [2, 7, 11]}
+    random.seed(4)
+    texts = [" ".join(random.choice(letters) for _ in range(size)) for size in (1, 2, 9, 25, 40) for letters in ("a", "ab", "abcd", "abcdefghijkl") for _ in range(6)]
+    for least in (2, 3, 5):
+        for text, row in zip(texts, quality.quality_rows(texts, least, 0.4, 0.25, 200)):
+            repeats = maximal_repeats(text.split())
+            union = {s + k for seq, starts in repeats.items() if len(seq) >= least for s in starts for k in range(len(seq))}
+            assert row[5:7] == (len(union), max(map(len, repeats), default=0)), text
 
 
 def test_quality_measures_and_verdicts(spark):

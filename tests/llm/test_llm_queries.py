@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -90,15 +91,36 @@ def test_op5_takes_reach_their_targets(spark, rows):
     assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in taken)
 
 
-def test_op7_and_op8(spark, rows):
+def often(words, size):
+    """Words in windows of `size` words that occur twice or more."""
+    windows = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
+    count = Counter(windows)
+    return {k + j for k, w in enumerate(windows) if count[w] > 1 for j in range(size)}
+
+
+def test_op7(spark, rows):
     got = {r.doc_id: r for r in QUERIES["op7_quality_rules"](spark, SF).collect()}
+    assert len(got) == len(rows)
     for i, text, _ in rows:
-        words = WORDS.findall(text or "")
-        assert (got[i].n_words, got[i].word_chars) == (len(words), sum(map(len, words)))
-        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-        often = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else None
-        if often is not None:
-            assert got[i].n_repeat_words == len({k + j for k, w in enumerate(windows) if w in often for j in range(3)})
+        words, seen, dup = WORDS.findall(text or ""), set(), 0
+        for line in (text or "").split("\n"):
+            dup += bool(WORDS.search(line)) and line in seen
+            seen.add(line)
+        n, repeated = len(words), len(often(words, 3))
+        # repeats of m words or more are tiled by repeated windows of m words, and repeat lengths have no gaps
+        covered = len(often(words, quality.MIN_REPEAT))
+        low, high = 0, n
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if often(words, mid) else (low, mid - 1)
+        failed = n < 50 or 100 * repeated > 50 * n
+        kept = not failed and covered <= quality.MAX_COVERED * n and (low <= quality.LONGEST_FROM or low <= quality.MAX_LONGEST * n)
+        want = {"doc_id": i, "n_words": n, "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text or ""), "n_dup_lines": dup,
+                "n_repeat_words": repeated, "covered_words": covered, "longest_repeat": low, "base_failed": failed, "kept": kept}
+        assert got[i].asDict() == want
+
+
+def test_op8(spark, rows):
     shards = QUERIES["op8_sharding"](spark, SF).toPandas()
     assert sorted(shards.doc_id) == [i for i, _, _ in rows] and shards.shard.between(0, 23).all() and (shards.law == "bytes").all()
     crc = shards.set_index("doc_id").text_crc32

@@ -3,9 +3,16 @@
 Each batch of texts becomes one array of word numbers in which every text has
 numbers and a separator of its own, so that one vectorised prefix doubling sorts the
 suffixes of all texts at once and no repeat crosses a text.  Common prefixes of
-neighbouring suffixes come from the ranks that the doubling leaves behind; their
-intervals give the maximal repeated word sequences.  A text fails if the union of
-their spans covers too much of it or the longest one is too long.
+neighbouring suffixes come from the ranks that the doubling leaves behind.  A text
+fails if the union of the spans of its maximal repeated word sequences covers too much
+of it or the longest one is too long.
+
+The common-prefix intervals are nested, and each suffix adds the span of the deepest one
+it lies in, whose length is the greater of its two neighbouring common prefixes.  That
+gives the union over all maximal repeats of m words or more: an occurrence of a maximal
+repeat is a prefix of a suffix in that repeat's interval, so the suffix's deepest interval
+is no shorter; and the words of a suffix's deepest interval, lengthened to the left while
+all their occurrences follow the same word, are a maximal repeat that covers them.
 """
 
 from __future__ import annotations
@@ -75,26 +82,6 @@ def repeat_lengths(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, lcp, longest
 
 
-def maximal_repeats(words: list, min_words: int) -> list[tuple[int, list[int]]]:
-    """(length, starts) of each maximal repeated sequence of at least `min_words` words: the
-    LCP intervals whose occurrences don't all follow the same word."""
-    if len(words) < 2:
-        return []
-    numbers = np.unique(np.asarray(words, dtype=object), return_inverse=True)[1].astype(np.int64)
-    order, lcp, _ = repeat_lengths(np.append(numbers, len(words) + 1))
-    out, stack = [], [(0, 0)]
-    for r in range(1, len(order) + 1):
-        value, left = int(lcp[r]) if r < len(order) else 0, r - 1
-        while stack[-1][0] > value:
-            length, left = stack.pop()
-            starts = sorted(order[left:r].tolist())
-            if length >= min_words and (starts[0] == 0 or len({int(numbers[s - 1]) for s in starts}) > 1):
-                out.append((length, starts))
-        if stack[-1][0] < value:
-            stack.append((value, left))
-    return sorted(out, key=lambda x: (x[1][0], x[0]))
-
-
 def _word_stats(text: str, words: list[str]) -> tuple[int, int, int]:
     seen: set[str] = set()
     dup = 0
