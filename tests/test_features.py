@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from textloom.operators import bayes, embed
 from textloom.operators import features as X
 from textloom.operators import history as H
+from textloom.operators import metrics as M
 from textloom.operators import profile as P
 from textloom.operators import split as SP
 from textloom.operators import subword as SW
 from textloom.operators import vocab as V
-from textloom.operators.rank import exact_rank
+from textloom.operators.rank import MAX_BUCKETS, ROWS_PER_BUCKET, bucket_count, exact_rank, with_quantile_bucket
 from textloom.plans import feature_plans  # noqa: F401 - registers the processors
+from textloom.sources import committed as C
 
 
 def _train(spark):
@@ -82,10 +85,30 @@ def test_case_is_kept_on_request(spark):
 
 def test_history_grows(spark, tmp_path):
     path = str(tmp_path / "h")
-    for rows in ([(1, 0, 3.0)], [(1, 1, 2.0), (2, 0, 5.0)]):
-        H.append_history(spark.createDataFrame(rows, "run long, epoch long, metric double"), path)
-    best = {r["run"]: (r["n_epochs"], r["best_epoch"]) for r in H.best_checkpoint(spark.read.parquet(path)).collect()}
+    part = lambda rows: spark.createDataFrame(rows, "run long, epoch long, metric double")
+    assert H.read_history(spark, path).count() == 0
+    assert H.append_history(part([(1, 0, 3.0)]), path, "first") and H.append_history(part([(1, 1, 2.0), (2, 0, 5.0)]), path, "second")
+    assert not H.append_history(part([(1, 0, 3.0)]), path, "first")
+    C.write_attempt(part([(1, 2, 1.0)]), path, "third")  # a writer that ends before its commit
+    best = {r["run"]: (r["n_epochs"], r["best_epoch"]) for r in H.best_checkpoint(H.read_history(spark, path)).collect()}
     assert best == {1: (2, 1), 2: (1, 0)}
+    assert H.append_history(part([(1, 2, 1.0)]), path, "third") and H.read_history(spark, path).count() == 4
+    for attempt in [C.write_attempt(part([(3, 0, 1.0)]), path, "fourth") for _ in range(2)]:  # two writers at once
+        C.commit(spark, path, "fourth", attempt)
+    assert H.read_history(spark, path).count() == 5
+    with pytest.raises(ValueError, match="name"):
+        H.append_history(part([]), path, "a/b")
+
+
+def test_best_checkpoints_have_versions(spark, tmp_path):
+    path, part = str(tmp_path / "b"), lambda rows: spark.createDataFrame(rows, "run long, epoch long, metric double")
+    assert H.read_best(spark, path).count() == 0
+    assert H.save_best(part([(1, 0, 3.0), (1, 1, 3.0)]), path) == 1 and H.save_best(part([(1, 0, 3.0), (1, 2, 2.0)]), path) == 2
+    C.write_attempt(part([(1, 9, 0.0)]), path, f"{3:012d}")  # a version that was never switched to
+    assert [tuple(r) for r in H.read_best(spark, path).collect()] == [(1, 2, 2, 2.0)]
+    assert [tuple(r) for r in H.read_best(spark, path, 1).collect()] == [(1, 2, 0, 3.0)]
+    with pytest.raises(ValueError, match="no version 3"):
+        H.read_best(spark, path, 3)
 
 
 def test_value_counts_most_frequent_first(spark):
@@ -105,6 +128,56 @@ def test_rank_in_two_levels(spark):
     assert all(r["r"] == r["v"] + 1 for r in got) and len(got) == 500
 
 
+def test_buckets_follow_the_rows():
+    assert [bucket_count(n) for n in (0, 1, ROWS_PER_BUCKET + 1, 10**12)] == [1, 1, 2, MAX_BUCKETS]
+
+
+@pytest.mark.parametrize("outliers", [[], ["", "zzz", "\U0001f600"], [None, "a"]])
+def test_string_buckets_balance_behind_a_long_prefix(spark, outliers):
+    keys = [f"https://example.org/page/{i:06d}" for i in range(20_000)] + outliers
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
+    d, n = with_quantile_bucket(df, "k", "b", 16)
+    sizes = [r["count"] for r in d.groupBy("b").count().collect()]
+    assert n == len(sizes) == 16 and max(sizes) < 2 * len(keys) / 16
+    pairs = sorted(((r["k"] or "").encode(), r["b"]) for r in d.collect())
+    assert [b for _, b in pairs] == sorted(b for _, b in pairs)
+    d, n = with_quantile_bucket(df, "k", "b")
+    assert n == bucket_count(len(keys)) > 1
+
+
+@pytest.mark.parametrize("values", [[1.5] * 9, [float("nan"), 1.0, float("inf"), -0.0, None, 2.0], list(range(9000)), []])
+def test_number_buckets_keep_the_order(spark, values):
+    d, n = with_quantile_bucket(spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double"), "v", "b")
+    got = [r["b"] for r in d.orderBy("v").collect()]
+    assert got == sorted(got) and max(got, default=0) < n
+
+
+@pytest.mark.parametrize("n,levels", [(1, 1), (60, 5), (400, 37), (9000, 9000)])
+def test_roc_points_without_straight_ones(spark, n, levels):
+    rng = random.Random(n)
+    rows = [(g, rng.randrange(levels) / levels, int(rng.random() < 0.4)) for g in "ab" for _ in range(n)]
+    df = spark.createDataFrame(rows, "label string, score double, y int")
+    for drop in (False, True):
+        want = set()
+        for g in "ab":
+            points, tps, fps = [], 0, 0
+            for s in sorted({s for l, s, _ in rows if l == g}, reverse=True) if n < 9000 else []:
+                ys = [y for l, t, y in rows if l == g and t == s]
+                tps, fps = tps + sum(ys), fps + len(ys) - sum(ys)
+                points.append((g, s, tps, fps))
+            if n == 9000:
+                for s, y in sorted(((s, y) for l, s, y in rows if l == g), reverse=True):
+                    tps, fps = tps + y, fps + 1 - y
+                    if points and points[-1][1] == s:
+                        points.pop()
+                    points.append((g, s, tps, fps))
+            keep = [i for i in range(len(points)) if not drop or i in (0, len(points) - 1) or any(
+                points[i + 1][k] - 2 * points[i][k] + points[i - 1][k] for k in (2, 3))]
+            want |= {points[i] for i in keep} | {(g, points[0][1] + 1, 0, 0)}
+        got = [(r["label"], r["threshold"], r["tps"], r["fps"]) for r in M.roc_curve(df, drop_intermediate=drop).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("keys", [["b", "a", "\u00e9", "", "aa", "ab", "\U0001f600"], [f"user-{i}" for i in range(300)], ["same"], []])
 def test_batches_of_string_keys(spark, keys):
     df = spark.createDataFrame([(k,) for k in keys], "k string")

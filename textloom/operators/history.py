@@ -18,12 +18,15 @@ one run, which is a training-length series, not a table-length one).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.rank import running_sum
+from textloom.sources.committed import append_part, committed_parts, read_parts
 
 EPOCH_BUCKET = 1024
+HISTORY = "run long, epoch long, metric double"
+BEST = "run long, n_epochs long, best_epoch long, best_metric double"
 
 
 def best_checkpoint(hist: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "metric") -> DataFrame:
@@ -35,9 +38,41 @@ def best_checkpoint(hist: DataFrame, run: str = "run", epoch: str = "epoch", met
     ).select(run, "n_epochs", F.col("__b.e").alias("best_epoch"), F.col("__b.m").alias("best_metric"))
 
 
-def append_history(part: DataFrame, path: str) -> None:
-    """Add `(run, epoch, metric)` rows to the history table at `path`; earlier rows stay."""
-    part.write.mode("append").parquet(path)
+def append_history(part: DataFrame, path: str, name: str) -> bool:
+    """Add the `(run, epoch, metric)` rows of the part called `name` to the history at `path`.
+
+    A part counts once: appending a committed one again, as an interrupted run does when it starts over, changes
+    nothing and gives False.  Earlier parts stay."""
+    return append_part(part.select(*_columns_of(HISTORY)), path, name)
+
+
+def _columns_of(schema: str) -> list[Column]:
+    return [F.col(name).cast(kind) for name, kind in (field.split() for field in schema.split(", "))]
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed parts; a history without one is empty."""
+    return read_parts(spark, path, HISTORY)
+
+
+def save_best(hist: DataFrame, path: str) -> int:
+    """Store the best checkpoint of every run as the next version, visible as a whole or not at all."""
+    version = max(_versions(hist.sparkSession, path), default=0) + 1
+    append_part(best_checkpoint(hist).select(*_columns_of(BEST)), path, f"{version:012d}")
+    return version
+
+
+def read_best(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """`(run, n_epochs, best_epoch, best_metric)` of the latest version, or of the one asked for."""
+    known = _versions(spark, path)
+    if version is not None and version not in known:
+        raise ValueError(f"no version {version} of the best checkpoints at {path}")
+    wanted = max(known, default=0) if version is None else version
+    return read_parts(spark, path, BEST, [f"{wanted:012d}"])
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(part) for part in committed_parts(spark, path)]
 
 
 def _check_mode(mode: str) -> None:

@@ -21,7 +21,6 @@ from textloom.functions.scoring import (
     squared_error,
 )
 from textloom.operators.rank import running_sum, with_quantile_bucket
-from textloom.session import materialize
 
 
 def _score_counts(long: DataFrame, group: Sequence[str], score: str, y: str) -> DataFrame:
@@ -109,34 +108,36 @@ def roc_curve(long: DataFrame, group: Sequence[str] = ("label",), score: str = "
     point whose threshold is max + 1.
 
     drop_intermediate=True removes points whose second differences of both fps and tps
-    are zero (collinear with their neighbours; first and last point kept).  Neighbours
-    come from an exact point rank and equi-joins on (group, rank +- 1), not from an
-    un-partitioned lag/lead.
+    are zero (first and last point kept).  The step to a point is that point's own count of
+    positives and negatives, so a second difference is the next point's counts less its own.
+
+    One pass over the distinct scores: each bucket of scores tells its counts and its first
+    point, so the few bucket rows give what lies above a bucket and which point follows it.
     """
-    g = _score_counts(long, group, score, y)
-    # one set of score-quantile buckets serves every running sum below
-    g, _ = with_quantile_bucket(g, score, "__qb")
-    if drop_intermediate:
-        g = materialize(g)
-    c = _cumulative(g, group, score, "pos", "tps", descending=True, bucketed=True)
-    c = _cumulative(c, group, score, "neg", "fps", descending=True, bucketed=True)
-    tot = g.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max(score).alias("__mx"),
-                                F.count(F.lit(1)).alias("__k"))
+    group = list(group)
+    g, _ = with_quantile_bucket(_score_counts(long, group, score, y).drop("hit"), score, "__qb")
+    point = F.struct(F.col(score).alias("s"), "pos", "neg")
+    per = g.groupBy(*group, "__qb").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.max(point).alias("__first"))
+    tot = per.groupBy(*group).agg(F.sum("__p").alias("P"), F.sum("__n").alias("N"), F.max("__first.s").alias("__mx"))
+    down = Window.partitionBy(*group).orderBy(F.col("__qb").desc())
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*group)
+    per = per.select(
+        *group, "__qb", F.sum("__p").over(above).alias("__tp"), F.sum("__n").over(above).alias("__fp"), F.lead("__first").over(down).alias("__after"),
+        F.sum("__p").over(everything).alias("P"), F.sum("__n").over(everything).alias("N"))
+    inside = Window.partitionBy(*group, "__qb").orderBy(F.col(score).desc())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    c = g.join(per, [*group, "__qb"]).select(
+        *group, score, "pos", "neg", "P", "N",
+        (F.coalesce("__tp", F.lit(0)) + F.sum("pos").over(upto)).alias("tps"),
+        (F.coalesce("__fp", F.lit(0)) + F.sum("neg").over(upto)).alias("fps"),
+        (F.col("__tp").isNull() & (F.row_number().over(inside) == 1)).alias("__start"),
+        F.coalesce(F.lead(point).over(inside), F.col("__after")).alias("__next"))
     if drop_intermediate:
-        c = running_sum(c, -F.col("__qb"), [F.col(score).desc()], None, "__r", partition=list(group))
-        # read three times below (itself and both neighbours): computed once, lineage cut
-        c = materialize(c)
-        pts = c.select(*group, "__r", "tps", "fps")
-        prev = pts.select(*group, (F.col("__r") + 1).alias("__r"), F.col("tps").alias("__tp"), F.col("fps").alias("__fp"))
-        nxt = pts.select(*group, (F.col("__r") - 1).alias("__r"), F.col("tps").alias("__tn"), F.col("fps").alias("__fn"))
-        c = c.join(prev, [*group, "__r"], "left").join(nxt, [*group, "__r"], "left")
-        d2 = lambda a, p, n: F.col(n) - 2 * F.col(a) + F.col(p)
-        keep = F.col("__tp").isNull() | F.col("__tn").isNull() | (d2("fps", "__fp", "__fn") != 0) | (d2("tps", "__tp", "__tn") != 0)
-        c = c.where(keep)
+        c = c.where(F.col("__start") | F.col("__next").isNull() | (F.col("__next.pos") != F.col("pos")) | (F.col("__next.neg") != F.col("neg")))
+    pts = c.select(*group, score, "tps", "fps", "P", "N")
     start = tot.select(*group, (F.col("__mx") + 1).alias(score), F.lit(0).cast("long").alias("tps"),
                        F.lit(0).cast("long").alias("fps"), "P", "N")
-    # `tot` has one row per label: broadcast it so no label is shuffled into one task
-    pts = c.join(F.broadcast(tot.drop("__mx", "__k")), list(group)).select(*group, score, "tps", "fps", "P", "N")
     pts = pts.unionByName(start)
     return pts.select(
         *group,

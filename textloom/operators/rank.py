@@ -18,11 +18,19 @@ rows each, so no task sees a hot group even when one key value repeats.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_BUCKET = 4096
+MAX_BUCKETS = 4096
+ACCURACY = 40_000        # of the quantile sketch: ranks to within one part in so many
+STRING_SAMPLE = 65_536   # string keys that reach the driver for their bounds, at most
+
+
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in (cs or [])]
 
@@ -80,19 +88,45 @@ def hash_prefix_bucket(hex_key: Column, digits: int = 3) -> Column:
     return F.substring(hex_key, 1, digits)
 
 
-def quantile_bounds(df: DataFrame, key: str, n: int = 256, accuracy: int = 10_000, partition: str | None = None):
-    """Approximate quantile bounds of a numeric column (n - 1 values, deduplicated).
+def bucket_count(rows: int) -> int:
+    """Buckets for so many rows: one for each `ROWS_PER_BUCKET`, up to `MAX_BUCKETS`."""
+    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
-    One aggregate job; only the bounds (at most n values) reach the driver.
-    """
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("q")).first()
-    qs = row["q"] if row and row["q"] is not None else []
-    return sorted({float(q) for q in qs if q is not None})
+
+def _thinned(bounds: list, n: int) -> list:
+    """At most n - 1 of the sorted bounds, evenly spaced, without repeats."""
+    n = min(n, len(bounds) + 1)
+    return sorted({bounds[i * (len(bounds) + 1) // n - 1] for i in range(1, n)})
 
 
-def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence[float], out: str) -> DataFrame:
-    """Add `out` = number of bounds <= key, by binary search over a literal array.
+def quantile_bounds(df: DataFrame, key: str, n: int | None = None) -> list[float]:
+    """Approximate quantile bounds of a numeric column: n buckets, or by the row count if n is not given.
+
+    One aggregate job over a mergeable sketch; only the bounds (fewer than `MAX_BUCKETS`) reach the driver.
+    """
+    most = n or MAX_BUCKETS
+    probs = F.from_json(F.lit(json.dumps([i / most for i in range(1, most)])), "array<double>")
+    row = df.agg(F.count(key).alias("rows"), F.percentile_approx(F.col(key).cast("double"), probs, ACCURACY).alias("q")).first() if most > 1 else None
+    if row is None or row["q"] is None:
+        return []
+    bounds = sorted(float(q) for q in row["q"] if not math.isnan(q))
+    return _thinned(bounds, n or bucket_count(row["rows"]))
+
+
+def string_bounds(df: DataFrame, key: str, n: int | None = None) -> list[str]:
+    """Quantile bounds of a string column, from `STRING_SAMPLE` of its rows drawn at random: whatever the keys look
+    like, a bucket between two bounds holds about its share.  The bounds decide balance only, never a result."""
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    rows = keys.count()
+    sample = [r["k"] for r in keys.withColumn("r", F.rand(17)).orderBy("r").limit(STRING_SAMPLE).collect()]
+    sample.sort(key=lambda k: k.encode())
+    n = min(n or bucket_count(rows), len(sample))
+    picked = {sample[i * len(sample) // n] for i in range(1, n)} if n else set()
+    return sorted(picked, key=lambda k: k.encode())
+
+
+def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence, out: str) -> DataFrame:
+    """Add `out` = number of bounds <= key, by binary search over one constant array.
 
     One projection per halving step (log2 of the bound count), so every step
     stays a small codegen'd expression instead of one exponentially nested tree.
@@ -102,9 +136,10 @@ def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence[float], out: str
     size = 1
     while size < len(bounds) + 1:
         size *= 2
-    padded = list(bounds) + [float("inf")] * (size - 1 - len(bounds))
-    arr = F.array(*[F.lit(v).cast("double") for v in padded])
-    k = F.col(key).cast("double")
+    kind = "string" if isinstance(bounds[0], str) else "double"
+    padded = list(bounds) + [None] * (size - 1 - len(bounds))  # no key reaches a missing bound
+    arr = F.from_json(F.lit(json.dumps(padded)), f"array<{kind}>")
+    k = F.col(key).cast(kind)
     df = df.withColumn(out, F.lit(0))
     step = size // 2
     while step >= 1:
@@ -116,22 +151,9 @@ def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence[float], out: str
     return df
 
 
-def string_place(df: DataFrame, key: str) -> Column:
-    """A number that never decreases along a string key: the six bytes behind the prefix that all keys share."""
-    row = df.agg(F.min(key), F.max(key)).first()
-    low, high = [(v or "").encode() for v in row]
-    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    six = F.substring(F.encode(F.col(key), "UTF-8"), shared + 1, 6)
-    return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
-
-
-def with_quantile_bucket(df: DataFrame, key: str, out: str, n: int = 256) -> tuple[DataFrame, int]:
-    """Add a bucket column from approximate quantile bounds; returns (df, bucket count bound)."""
-    if dict(df.dtypes)[key] == "string":
-        placed = df.withColumn("__place", string_place(df, key))
-        bounds = quantile_bounds(placed, "__place", n)
-        return with_bound_bucket(placed, "__place", bounds, out).drop("__place"), len(bounds) + 1
-    bounds = quantile_bounds(df, key, n)
+def with_quantile_bucket(df: DataFrame, key: str, out: str, n: int | None = None) -> tuple[DataFrame, int]:
+    """Add a bucket column from approximate quantile bounds, n of them or by the row count; returns (df, bucket count bound)."""
+    bounds = string_bounds(df, key, n) if dict(df.dtypes)[key] == "string" else quantile_bounds(df, key, n)
     return with_bound_bucket(df, key, bounds, out), len(bounds) + 1
 
 

@@ -41,8 +41,8 @@ def split_exact(df: DataFrame, key: str, seed=23, train_ratio: float | None = 0.
     return r.withColumn("is_train", (F.col("__rank") <= n_train).cast("int")).drop("__rank", "__n")
 
 
-def ordered_rank(df: DataFrame, key: str, out: str = "rank", n_buckets: int = 256) -> DataFrame:
-    """Exact rank along a numeric or string key with quantile buckets (balanced for unique keys)."""
+def ordered_rank(df: DataFrame, key: str, out: str = "rank", n_buckets: int | None = None) -> DataFrame:
+    """Exact rank along a numeric or string key with quantile buckets, as many as the rows ask for (balanced for unique keys)."""
     d, _ = with_quantile_bucket(df, key, "__qb", n_buckets)
     return exact_rank(d, F.col("__qb"), [key], out).drop("__qb")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import encode as E
 from textloom.operators import features as X
-from textloom.operators.history import append_history, best_checkpoint
+from textloom.operators.history import append_history, read_best, read_history, save_best
 from textloom.operators.split import batch_assign
 from textloom.operators.vocab import unknown_tokens
 from textloom.plans import sqlfrag as S
@@ -166,11 +166,13 @@ def prep_task_examples(spark: SparkSession, sf: str) -> DataFrame:
         round(min(metric), 6) AS best_metric FROM history GROUP BY run""",
 )
 def history_append(spark: SparkSession, sf: str) -> DataFrame:
-    """A history appended in parts, then the best checkpoint over all that was appended."""
-    hist, path = materialize(tb.history(spark, sf)), scratch_path(spark, "history")
-    for part in range(PARTS):
-        append_history(hist.where(F.col("epoch") % PARTS == part), path)
-    best = best_checkpoint(spark.read.parquet(path))
+    """A history appended in parts, the first of them twice, as by a run that starts over; then the best
+    checkpoints of all that was appended, stored as a version and read back."""
+    hist, path, bests = materialize(tb.history(spark, sf)), scratch_path(spark, "history"), scratch_path(spark, "best")
+    for part in [0, *range(PARTS)]:
+        append_history(hist.where(F.col("epoch") % PARTS == part), path, f"epochs-{part}")
+    save_best(read_history(spark, path), bests)
+    best = read_best(spark, bests)
     return best.select("run", "n_epochs", "best_epoch", F.round("best_metric", 6).alias("best_metric"))
 
 
