@@ -128,6 +128,28 @@ def test_rank_in_two_levels(spark):
     assert all(r["r"] == r["v"] + 1 for r in got) and len(got) == 500
 
 
+@pytest.mark.parametrize("rows,world", [(10, 4), (8, 4), (3, 8), (1, 5), (0, 3)])
+@pytest.mark.parametrize("seed", [None, 5])
+def test_even_shards(spark, rows, world, seed):
+    df = spark.createDataFrame([(i,) for i in range(rows)], "k long")
+    got = SP.shard_assign(df, "k", world, seed, even=True)
+    assert got.columns == ["k", "shard"]
+    got = [(r["k"], r["shard"]) for r in got.collect()]
+    full = -(-rows // world) * world
+    assert [sum(s == i for _, s in got) for i in range(world)] == [full // world] * world
+    times = [sum(k == i for k, _ in got) for i in range(rows)]
+    assert sum(times) == full and max(times, default=0) - min(times, default=0) <= 1
+    if seed is None:
+        assert sorted(got) == sorted((p % rows, p % world) for p in range(full))
+
+
+def test_histogram_is_the_same_by_both_joins(spark, monkeypatch):
+    df = spark.createDataFrame([(g, float(i * i % 17)) for g in "abc" for i in range(40)] + [("d", 2.0)], "g string, v double")
+    few = sorted(map(tuple, P.histogram(df, ["g"], "v", 5).collect()))
+    monkeypatch.setattr(P, "RANGES_IN_TASKS", 1)
+    assert sorted(map(tuple, P.histogram(df, ["g"], "v", 5).collect())) == few and len(few) == 20
+
+
 def test_buckets_follow_the_rows():
     assert [bucket_count(n) for n in (0, 1, ROWS_PER_BUCKET + 1, 10**12)] == [1, 1, 2, MAX_BUCKETS]
 

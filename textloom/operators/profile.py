@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.rank import running_sum, with_quantile_bucket
+from textloom.session import materialize
+
+RANGES_IN_TASKS = 100_000  # groups of a histogram whose ranges are broadcast, at most
 
 
 def label_prevalence(df: DataFrame, labels: Sequence[str], denominator: int | Column | None = None) -> DataFrame:
@@ -92,7 +95,9 @@ def _any(conds):
 def histogram(df: DataFrame, group: Sequence[str], value: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram per group over [min, max], last bin closed; empty bins kept.
 
-    A constant group is widened to [v - 0.5, v + 0.5] as numpy does.
+    A constant group is widened to [v - 0.5, v + 0.5] as numpy does.  The groups' ranges are
+    counted: up to `RANGES_IN_TASKS` groups they go to the tasks, so that a group with most of the rows isn't
+    shuffled into one; more groups are joined by a shuffle.  Both ways give the same result.
     """
     g = list(group)
     base = df.select(*g, F.col(value).cast("double").alias("v"))
@@ -102,9 +107,9 @@ def histogram(df: DataFrame, group: Sequence[str], value: str, bins: int = 10) -
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
     )
-    # `group` is label-level (a handful of keys): a shuffle join on it would put a
-    # whole label in one task, so its one-row-per-group range table is broadcast.
-    binned = base.join(F.broadcast(rng), g).select(
+    rng = materialize(rng)  # one row a group; read three times below
+    ranges = F.broadcast(rng) if rng.count() <= RANGES_IN_TASKS else rng
+    binned = base.join(ranges, g).select(
         *g,
         (F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)) + 1)
         .cast("int")

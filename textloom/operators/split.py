@@ -41,10 +41,10 @@ def split_exact(df: DataFrame, key: str, seed=23, train_ratio: float | None = 0.
     return r.withColumn("is_train", (F.col("__rank") <= n_train).cast("int")).drop("__rank", "__n")
 
 
-def ordered_rank(df: DataFrame, key: str, out: str = "rank", n_buckets: int | None = None) -> DataFrame:
+def ordered_rank(df: DataFrame, key: str, out: str = "rank", n_buckets: int | None = None, total: str | None = None) -> DataFrame:
     """Exact rank along a numeric or string key with quantile buckets, as many as the rows ask for (balanced for unique keys)."""
     d, _ = with_quantile_bucket(df, key, "__qb", n_buckets)
-    return exact_rank(d, F.col("__qb"), [key], out).drop("__qb")
+    return exact_rank(d, F.col("__qb"), [key], out, total).drop("__qb")
 
 
 def batch_assign(df: DataFrame, key: str, batch_size: int, seed=None, epoch: int = 0) -> DataFrame:
@@ -60,10 +60,21 @@ def batch_assign(df: DataFrame, key: str, batch_size: int, seed=None, epoch: int
     return r.withColumn("batch_id", F.floor((F.col("__rank") - 1) / F.lit(batch_size)).cast("long")).drop("__rank")
 
 
-def shard_assign(df: DataFrame, key: str, world_size: int, seed=None) -> DataFrame:
-    """Replica shard `pmod(rank - 1, world_size)` (round-robin, as a distributed sampler)."""
-    r = ordered_rank(df, key, "__rank") if seed is None else random_rank(df, key, seed, "__rank")
-    return r.withColumn("shard", F.pmod(F.col("__rank") - 1, F.lit(world_size)).cast("long")).drop("__rank")
+def shard_assign(df: DataFrame, key: str, world_size: int, seed=None, even: bool = False) -> DataFrame:
+    """Replica shard `pmod(rank - 1, world_size)` (round-robin, as a distributed sampler).
+
+    `even=True` gives every shard the same number of rows, as replicas that step together need: the order is
+    followed again from its start until the count is a multiple of `world_size`, so its first rows come twice (or
+    more often, if there are fewer rows than shards)."""
+    total = "__n" if even else None
+    r = ordered_rank(df, key, "__rank", total=total) if seed is None else random_rank(df, key, seed, "__rank", total)
+    place = F.col("__rank") - 1
+    if even:
+        full = F.ceil(F.col("__n") / world_size) * world_size
+        again = F.sequence(F.lit(0), F.floor((full - F.col("__rank")) / F.col("__n")).cast("int"))
+        r = r.withColumn("__again", F.explode(again))
+        place = place + F.col("__again") * F.col("__n")
+    return r.withColumn("shard", F.pmod(place, F.lit(world_size)).cast("long")).drop("__rank", "__n", "__again")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed=0) -> DataFrame:

@@ -13,6 +13,7 @@ from textloom.sources import tables as tb
 SEED = 23
 BATCH = 8
 WORLD = 4
+EVEN_WORLD = 7
 
 
 def _md5(key: str, seed) -> str:
@@ -65,6 +66,18 @@ def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
     return shard_op(tb.table(spark, sf, "documents").select("doc_id"), "doc_id", WORLD)
 
 
+@register(
+    "shard_assign_even",
+    f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_md5('doc_id', SEED)}, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+    size AS (SELECT CAST(ceil(count(*) / {EVEN_WORLD}.0) * {EVEN_WORLD} AS BIGINT) AS wanted FROM documents)
+    SELECT doc_id, CAST(place % {EVEN_WORLD} AS BIGINT) AS shard FROM r
+    UNION ALL SELECT doc_id, CAST((place + n) % {EVEN_WORLD} AS BIGINT) FROM r, size WHERE place + n < wanted""",
+)
+def shard_assign_even(spark: SparkSession, sf: str) -> DataFrame:
+    """Shuffled replica shards of equal size; the first rows of the order come again."""
+    return shard_op(tb.table(spark, sf, "documents").select("doc_id"), "doc_id", EVEN_WORLD, seed=SEED, even=True)
+
+
 @register(
     "split_labeled",
     """SELECT d.doc_id, 'train' AS part FROM documents d JOIN labels l USING (doc_id)
