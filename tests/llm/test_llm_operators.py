@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -172,13 +173,51 @@ def test_multi_index_links_lose_nothing(spark):
             fps.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     table = spark.createDataFrame([(x, 1) for x in signed], "fp long, n long")
-    for bits, segments in ((4, 3), (4, 2), (3, 4)):
-        links = simhash.links(table, bits, segments)
+    for bits, segments, block in ((4, 3, 4096), (4, 2, 4096), (3, 4, 4096), (4, 5, 4096), (4, 5, 1), (4, 3, 2)):
+        links = simhash.links(table, bits, segments, block)
         got = {r.node: r.component for r in components(links).collect()}
         want = brute_components(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits])
         assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_segments_follow_from_the_number_of_fingerprints():
+    chosen = [simhash.choose_segments(n, 4) for n in (0, 1_000, 60_000, 10**6, 10**8, 10**10)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[0] == 5 and chosen[3:] == [3, 2, 2]
+    for m in range(1, 6):
+        plan = simhash.segment_plan(4, m)
+        assert sum(w for _, w, _ in plan) <= 64 and all(r >= 0 for _, _, r in plan)
+
+
+def test_long_buckets_are_cut_and_lose_no_link(spark):
+    random.seed(11)
+    low = {random.getrandbits(42) for _ in range(500)}  # one bucket of the upper 22 bits holds them all
+    fps = sorted(low | {x ^ 1 << random.randrange(64) ^ 1 << random.randrange(42) for x in list(low)[:200]})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    table = spark.createDataFrame([(x, 1) for x in signed], "fp long, n long")
+    got = {r.node: r.component for r in components(simhash.links(table, 4, 3, 16)).collect()}
+    want = brute_components(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4])
+    assert {x: got.get(x, x) for x in signed} == want
+
+
+def test_one_row_of_each_group_stays_whatever_its_columns(spark):
+    rows = [(1, "a b c d e", {"k": "2"}), (1, "a b c d e", {"k": "1"}), (2, "a b c d e", None), (None, "f g h i j", {}), (None, "f g h i j", {"z": "1"}),
+            (3, None, None), (4, "", {"e": "1"})]
+    table = spark.createDataFrame(rows, "doc_id long, text string, kept map<string,string>")
+    got = {(r.doc_id, r.text): r.kept for r in simhash.keep_one_of_group(table).collect()}
+    assert got == {(1, "a b c d e"): {"k": "1"}, (None, "f g h i j"): {"z": "1"}, (3, None): None}
+    assert simhash.keep_one_of_group(table.limit(0)).count() == 0
+
+
+def test_scratch_tables_are_deleted_with_their_block(spark, tmp_path):
+    from textloom.llm import common
+
+    with common.scratch_dropped(spark):
+        table = common.written(spark.range(5), "dropped")
+        assert table.count() == 5
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path) and not os.path.exists(os.path.dirname(path))
+
+
 def test_simhash_awkward(spark):
     got = simhash.simhash_groups(awkward(spark)).collect()
     assert len(got) == 10

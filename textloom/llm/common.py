@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,15 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_collected: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `written` makes inside the block when it is left.  Write what is
+    wanted of them inside, as nothing can be read from them later."""
+    _collected.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _collected.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: it is computed once, its lineage
     ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if _collected:
+        _collected[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

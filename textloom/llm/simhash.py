@@ -7,28 +7,34 @@ others in at most one bit less.  Each distinct fingerprint is filed in one table
 per segment; every member of the Hamming ball around its segment is looked up
 there, and what is found is verified on all 64 bits.  No link is lost.
 
+The number of segments follows from the number of distinct fingerprints: more
+segments mean smaller balls but fuller buckets.  Every choice is exact.
+
 Only distinct fingerprints are compared, and only if they are not yet known to
 be in one component: a first round links each table bucket to its most frequent
 fingerprint, which settles large groups of near copies with one link a member.
+A bucket that is long all the same is cut into blocks, each with its own copy of
+the bucket's lookups; a lookup whose component is the whole bucket's is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import narrowed, read_table, written
+from textloom.llm.common import fresh, narrowed, read_table, written
 from textloom.llm.components import components
 from textloom.llm.registry import register
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-SEGMENTS = 3
+BLOCK = 4_096  # fingerprints of a bucket that one task compares with the bucket's lookups
 SEED = 42
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -82,6 +88,17 @@ def segment_plan(max_bits: int, segments: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def choose_segments(n: int, max_bits: int) -> int:
+    """The number of segments with the fewest lookups and candidates for a fingerprint among `n`
+    evenly spread ones."""
+
+    def cost(segments: int) -> float:
+        balls = [(w, sum(comb(w, i) for i in range(r + 1))) for _, w, r in segment_plan(max_bits, segments)]
+        return sum(ball * (1 + n / 2**w) for w, ball in balls)
+
+    return min(range(1, max_bits + 2), key=cost)
+
+
 def _segment(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -96,7 +113,7 @@ def _probes(fp: Column, segment: int, first: int, width: int, radius: int) -> Co
     return F.transform(flips, lambda m: F.struct(F.lit(segment).alias("s"), _segment(fp, first, width).bitwiseXOR(m).alias("k")))
 
 
-def links(distinct: DataFrame, max_bits: int, segments: int) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int, segments: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` with count `n`, enough to give the components."""
     plan = segment_plan(max_bits, segments)
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
@@ -108,26 +125,35 @@ def links(distinct: DataFrame, max_bits: int, segments: int) -> DataFrame:
     known = components(stars).select(F.col("node").alias("fp"), F.col("component").alias("c"))
     nodes = written(distinct.join(known, "fp", "left").select("fp", F.coalesce("c", "fp").alias("c")), "simhash-nodes")
     filed_nodes = nodes.withColumn("e", filed).select("fp", "c", "e.s", "e.k")
+    # at most len(plan) / block of the fingerprints' number
+    long = written(filed_nodes.groupBy("s", "k").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+                   .where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "simhash-long")
     ball = F.explode(F.flatten(F.array(*[_probes(F.col("fp"), i, at, w, r) for i, (at, w, r) in enumerate(plan)])))
     asked = nodes.withColumn("e", ball).select(F.col("fp").alias("q"), F.col("c").alias("qc"), "e.s", "e.k")
-    t, q = filed_nodes.alias("t"), asked.alias("q")
-    found = t.join(q, (F.col("t.s") == F.col("q.s")) & (F.col("t.k") == F.col("q.k"))
+    cut = F.coalesce("blocks", F.lit(1))
+    t = filed_nodes.join(long, ["s", "k"], "left").withColumn("block", F.pmod(F.xxhash64("fp"), cut)).alias("t")
+    settled = (F.col("lo") == F.col("qc")) & (F.col("hi") == F.col("qc"))
+    q = asked.join(long, ["s", "k"], "left").where(~F.coalesce(settled, F.lit(False))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), cut.cast("long") - 1))).alias("q")
+    found = t.join(q, (F.col("t.s") == F.col("q.s")) & (F.col("t.k") == F.col("q.k")) & (F.col("t.block") == F.col("q.block"))
                    & (F.col("t.c") != F.col("q.qc")) & near(F.col("t.fp"), F.col("q.q")))
     return found.select(F.col("t.c").alias("a"), F.col("q.qc").alias("b")).distinct().unionByName(
         nodes.where("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = SHINGLE_WORDS,
-                   max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+                   max_bits: int = MAX_BITS, segments: int | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, th (xxhash64 of the text), fp (long), component_id (smallest
     doc_id whose fingerprint is reachable through links of at most `max_bits` bits, its own included)
     and component_fp, one fingerprint of the group, which tells groups apart also where ids don't.
 
     Null and wordless texts have fingerprint 0 and link like others; repeated rows and equal
     texts share a component; a null id has component null unless another id is in its group;
-    an empty table gives no rows; extra columns are ignored."""
+    an empty table gives no rows; extra columns are ignored.  Without `segments` their number
+    follows from that of the distinct fingerprints; the result doesn't depend on it."""
     fps = written(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash-fp")
     distinct = written(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "simhash-distinct")
+    segments = segments or choose_segments(distinct.count(), max_bits)
     groups = components(links(distinct.select("fp", "n"), max_bits, segments))
     labelled = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("c"))
     ids = labelled.groupBy("c").agg(F.min("first_id").alias("component_id"))
@@ -135,6 +161,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(by_fp, "fp").select("doc_id", "th", "fp", "component_id", "component_fp")
 
 
+def keep_one_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the row with the smallest id (null
+    last), then text hash; columns as in `docs`, of any types.
+
+    Of rows that repeat both, the first by the JSON of their other columns stays.  Null and
+    wordless texts are one group; an empty table gives no rows."""
+    rows = simhash_groups(docs, id_col, text_col, **options).groupBy("component_fp", "doc_id", "th").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "rows"))
+    kept = fresh(docs, "kept")
+    mark = rows.groupBy("component_fp").agg(least.alias("least")).select(F.col("least").alias(kept))
+    found = docs.join(mark, docs[id_col].eqNullSafe(F.col(f"{kept}.doc_id")) & (F.xxhash64(docs[text_col]) == F.col(f"{kept}.th")))
+    once = found.where(F.col(f"{kept}.rows") == 1).select(docs.columns)
+    # rows that repeat both id and text are few and only they are compared again
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    place = F.to_json(F.struct(*others)) if others else F.lit("")
+    again = found.where(F.col(f"{kept}.rows") > 1).groupBy(kept).agg(F.min_by(F.struct(*docs.columns), place).alias("row"))
+    return once.unionByName(again.select("row.*"))
+
+
 @register("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_groups(read_table(spark, sf_dir, "documents"))
