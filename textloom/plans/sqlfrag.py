@@ -1,27 +1,24 @@
-"""DuckDB SQL fragments mirroring `textloom.functions` (oracle side only)."""
+"""DuckDB SQL fragments for what `textloom.functions` computes (oracle side only).
+
+The fixed values are written out here once more, so that an error in those of the
+library shows as a difference."""
 
 from __future__ import annotations
 
-from textloom.functions.text import (
-    CJK_RANGES,
-    HTML_BREAK,
-    NEVER_SPLIT,
-    PUNCTUATION,
-    YEN_NEWLINE,
-)
+NEVER_SPLIT = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
+# all ASCII punctuation but the full stop and the comma
+_KEEP = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 PUNCT = r"[!-/:-@\[-`{-~]|\p{P}"
-CJK = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in CJK_RANGES) + "]"
+CJK = (r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+       r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]")
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_KEEP = "".join(c for c in PUNCTUATION if c not in ".,")
-
-
 def _pad(c: str) -> str:
     c = f"translate({c}, {lit(_KEEP)}, {lit(' ' * len(_KEEP))})"
     c = f"replace({c}, '.', ' . ')"
@@ -30,13 +27,13 @@ def _pad(c: str) -> str:
 
 def clean_text(col: str) -> str:
     c = f"coalesce({col}, '')"
-    c = f"replace({c}, {lit(YEN_NEWLINE)}, '')"
+    c = f"replace({c}, '¥n', '')"
     c = f"translate({c}, '0123456789', '')"
     return _pad(c)
 
 
 def clean_text_html(col: str) -> str:
-    c = f"replace(coalesce({col}, ''), {lit(HTML_BREAK)}, '')"
+    c = f"replace(coalesce({col}, ''), '<br />', '')"
     return _pad(c)
 
 
