@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, read_table, scratch
+from textloom.llm.common import read_table, scratch, scratch_dropped
 from textloom.llm.linededup import dedup_lines
 from textloom.llm.mixing import mix
 from textloom.llm.packing import pack_documents
 from textloom.llm.quality import keep_by_quality
-from textloom.llm.simhash import simhash_groups
+from textloom.llm.simhash import keep_one_of_group
 
 ORACLE_SQL = None  # suffix arrays, XXH64 and BPE have no SQL form
 
@@ -33,15 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id (null last), then text hash."""
-    rows = simhash_groups(docs).groupBy("component_fp", "doc_id", "th").agg(F.count("*").alias("kept_rows"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "kept_rows"))
-    mark = rows.groupBy("component_fp").agg(least.alias("least")).select(F.col("least").alias(fresh(docs, "kept")))
-    kept = mark.columns[0]
-    found = docs.join(mark, docs.doc_id.eqNullSafe(F.col(f"{kept}.doc_id")) & (F.xxhash64(docs.text) == F.col(f"{kept}.th")))
-    once = found.where(F.col(f"{kept}.kept_rows") == 1).select(docs.columns)
-    # rows that repeat both id and text are few and only they are compared again
-    again = found.where(F.col(f"{kept}.kept_rows") > 1).groupBy(kept).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.unionByName(again)
+    return keep_one_of_group(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +55,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
+    """All stages over `documents`, each written as Parquet and read again; what a stage writes
+    for itself is deleted after it."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_dropped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
