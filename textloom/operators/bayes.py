@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.dictionary import elements
 from textloom.session import materialize
 
 
@@ -28,7 +29,7 @@ def fit(train: DataFrame, tokens: str, labels: Sequence[str], pos_weight: float
     pos, s = F.lit(float(pos_weight)), F.lit(float(smoothing))
     docs = train.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(l).cast("long")).alias(f"p_{l}") for l in labels])
     counts = materialize(  # one row a distinct token; read for the totals and again for the weights
-        train.select(F.explode(tokens).alias("token"), *labels)
+        elements(train, tokens, "token", *labels)
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(l).cast("long")).alias(f"p_{l}") for l in labels])
     )

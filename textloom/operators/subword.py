@@ -16,7 +16,7 @@ from pyspark.sql import types as Ty
 
 from textloom.functions import text as T
 from textloom.functions.accents import strip_accents
-from textloom.operators.dictionary import lookup, map_arrays, small_table
+from textloom.operators.dictionary import elements, lookup, map_arrays, small_table
 from textloom.operators.vocab import PIECE_SPECIALS
 from textloom.session import materialize
 
@@ -25,7 +25,7 @@ UNK_TOKEN = "[UNK]"
 MAX_INPUT_CHARS_PER_WORD = 100
 CONTINUATION = "##"
 
-KNOWN_WORDS = 1_000_000  # distinct words that a worker remembers
+KNOWN_WORDS = 200_000  # distinct words that a worker remembers
 
 
 def basic_tokenize(df: DataFrame, text: str, out: str, do_lower_case: bool = True) -> DataFrame:
@@ -40,31 +40,37 @@ class Pieces:
     """Greedy longest-match pieces of words, by a vocabulary that is held in memory."""
 
     def __init__(self, tokens: Sequence[str]):
-        self.tokens = set(tokens)
+        self.names = [*tokens, UNK_TOKEN]
+        self.tokens = {t: i for i, t in enumerate(tokens)}
         self.first = sorted({len(t) for t in self.tokens}, reverse=True)  # lengths that occur, longest first
         self.later = sorted({len(t) - len(CONTINUATION) for t in self.tokens if t.startswith(CONTINUATION) and len(t) > len(CONTINUATION)}, reverse=True)
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def of(self, word: str) -> list[str]:
+        return [self.names[i] for i in np.frombuffer(self.numbers(word), np.int32)]
+
+    def numbers(self, word: str) -> bytes:
+        """The places of the word's pieces in `names`, as int32: a remembered word costs few bytes."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= KNOWN_WORDS:
                 self.known.clear()
-            found = self.known[word] = self._split(word)
+            found = self.known[word] = np.array(self._split(word), np.int32).tobytes()
         return found
 
-    def _split(self, word: str) -> list[str]:
+    def _split(self, word: str) -> list[int]:
+        unknown = [len(self.names) - 1]
         n, at, out = len(word), 0, []
         if n > MAX_INPUT_CHARS_PER_WORD:
-            return [UNK_TOKEN]
+            return unknown
         while at < n:
             for size in self.later if at else self.first:
                 piece = CONTINUATION + word[at : at + size] if at else word[:size]
                 if at + size <= n and piece in self.tokens:
                     break
             else:
-                return [UNK_TOKEN]
-            out.append(piece)
+                return unknown
+            out.append(self.tokens[piece])
             at += size
         return out
 
@@ -112,24 +118,25 @@ def wordpiece_tokenize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, o
     """
     vocab, rows = small_table(vocab.select("token"), most_rows)
     if rows is None:
-        words = df.select(F.explode(tokens).alias("word")).where(F.col("word").isNotNull()).distinct()
+        words = elements(df, tokens, "word").where(F.col("word").isNotNull()).distinct()
         table = wordpiece_table(words, vocab)
         return lookup(df, [key], tokens, table, "word", "pieces", "__p", most_rows=most_rows).select(key, F.flatten("__p").alias(out))
     held = df.sparkSession.sparkContext.broadcast(rows["token"].to_pylist())
-    made: list[Pieces] = []
+    made: list[tuple[Pieces, pa.Array]] = []
 
     def split(values: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         if not made:
-            made.append(Pieces(held.value))
+            table = Pieces(held.value)
+            made.append((table, pa.array(table.names, pa.string())))
+        table, names = made[0]
         coded = values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        pieces = [made[0].of(w) for w in words]
-        begins = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
+        pieces = [table.numbers(w) for w in coded.dictionary.to_pylist()]
+        begins = np.concatenate(([0], np.cumsum([len(p) // 4 for p in pieces]))).astype(np.int64)
         ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = np.diff(begins)[ids]
         ends = np.cumsum(n)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[:-1][ids] - (ends - n), n)
-        text = pa.array([x for p in pieces for x in p], pa.string()).take(pa.array(place))
+        text = names.take(pa.array(np.frombuffer(b"".join(pieces), np.int32)[place]))
         upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
         return text, np.diff(upto)
 
@@ -146,7 +153,7 @@ def piece_vocab(basic_tokens: DataFrame, tokens: str = "tokens", n_words: int =
     final id window runs over a bounded table.
     """
     spark = basic_tokens.sparkSession
-    words = basic_tokens.select(F.explode(tokens).alias("word"))
+    words = elements(basic_tokens, tokens, "word")
     freq = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")))  # read four times below
     chars = (
         freq.select(F.explode(F.regexp_extract_all("word", F.lit("(?s)(.)"), 1)).alias("c"))

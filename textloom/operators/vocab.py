@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.dictionary import lookup
+from textloom.operators.dictionary import elements, lookup
 from textloom.operators.rank import exact_rank
 
 # ---------------------------------------------------------------------------
@@ -26,8 +26,7 @@ PIECE_SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
 def token_frequencies(df: DataFrame, tokens: str | Column = "tokens") -> DataFrame:
     """`(token, freq)` over an ARRAY<STRING> column."""
-    col = F.col(tokens) if isinstance(tokens, str) else tokens
-    return df.select(F.explode(col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    return elements(df, tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def specials_frame(spark, specials: Sequence[str]) -> DataFrame:
