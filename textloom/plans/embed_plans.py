@@ -76,7 +76,7 @@ def embed_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of token vectors over all 256 positions of the fixed encoding (padding included)."""
     vocab = materialize(word_vocab(spark, sf))
     enc = fixed_word_encoding(spark, sf, vocab)
-    vecs = materialize(id_vectors(spark, sf, vocab))
+    vecs = id_vectors(spark, sf, vocab).where("has_vec = 1")  # zeros add nothing to a sum
     pooled = EM.mean_pool(enc, "doc_id", "input_ids", "length", vecs, MAX_LEN, DIM, masked=False, pad_id=PAD)
     return pooled.select("doc_id", *EM.vec_summary(F.col("pooled")))
 
