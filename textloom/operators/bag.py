@@ -11,14 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.dictionary import elements, sent_if_small
 from textloom.session import materialize
 
 BIAS = ""  # the token of the constant feature; no token is empty
 
 
 def bag(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """`(key, token, n)`: occurrences are counted before they are shuffled."""
-    return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    """`(key, token, n)`: rows are shuffled whole, by key, and counted where they are, so
+    what is made from the bags by key needs no shuffle."""
+    return elements(df.select(key, tokens).repartition(key), tokens, "token", key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inverse_frequencies(bags: DataFrame, n_rows: int, min_rows: int = 1) -> DataFrame:
@@ -40,12 +42,13 @@ def fit_gradient(features: DataFrame, rows: DataFrame, key: str, value: str, lab
     `features` has key, token and `value`; `rows` has key and 0/1 labels (a row without features
     counts).  A positive row counts `pos_weight` times.  A step is two aggregations over the features
     for all labels together: scores by row, then gradients by token.  The weights of each step are
-    a table of their own, so the plan doesn't grow with the steps."""
+    a table of their own, so the plan doesn't grow with the steps; the features are dealt out by key
+    once, and stay there if the weights are small enough to be sent to them."""
     ys = materialize(rows.select(key, *labels))
     x = features.select(key, "token", F.col(value).cast("double").alias("__x")).unionByName(
         ys.select(key, F.lit(BIAS).alias("token"), F.lit(1.0).alias("__x")))
-    x = materialize(x.join(ys.select(key), key, "left_semi"))
-    weights = materialize(x.select("token").distinct().select("token", *[F.lit(0.0).alias(f"w_{l}") for l in labels]))
+    x = materialize(x.join(ys.select(key), key, "left_semi").repartition(key))
+    weights = sent_if_small(x.select("token").distinct().select("token", *[F.lit(0.0).alias(f"w_{l}") for l in labels]))
     n = float(max(1, ys.count()))
 
     def residual(l: str) -> Column:
@@ -57,7 +60,7 @@ def fit_gradient(features: DataFrame, rows: DataFrame, key: str, value: str, lab
         rest = scores.join(ys, key).select(key, *[residual(l) for l in labels])
         slope = x.join(rest, key).groupBy("token").agg(*[F.sum(F.col("__x") * F.col(f"__r_{l}")).alias(f"__g_{l}") for l in labels])
         held = F.when(F.col("token") == BIAS, F.lit(0.0)).otherwise(F.lit(float(reg)))
-        weights = materialize(weights.join(slope, "token").select("token", *[
+        weights = sent_if_small(weights.join(slope, "token").select("token", *[
             (F.col(f"w_{l}") - F.lit(float(rate)) * (F.col(f"__g_{l}") + held * F.col(f"w_{l}"))).alias(f"w_{l}") for l in labels]))
     return weights
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import bag as B
 from textloom.operators import encode as E
+from textloom.operators.dictionary import sent_if_small
 from textloom.operators.batch_model import score_batches
 from textloom.plans.bayes_plans import SQL_MODEL, _split
 from textloom.plans.encode_plans import CLS, EOS, MAX_LEN, PAD, SQL_FIXED_CTES, UNK, _doc_tokens
@@ -34,7 +35,7 @@ def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     bags = materialize(B.bag(split, "doc_id"))
     train = split.where("is_train = 1").select("doc_id")
     idf = B.inverse_frequencies(bags.join(train, "doc_id", "left_semi"), train.count(), MIN_ROWS)
-    return split, B.tfidf(bags, idf, "doc_id")
+    return split, B.tfidf(bags, sent_if_small(idf.select("token", "idf")), "doc_id")
 
 
 @register("feat_tfidf", _SQL_BAGS + " SELECT doc_id, token, n::BIGINT AS n, round(weight, 6) AS weight FROM feats")
