@@ -180,6 +180,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     zero = [F.lit(0).cast("long").alias(n) for n in ("n_lines", "n_chunks", "removed_chunks", "removed_lines")]
     none = rows.where("none").select("held", "t1", "t2", F.lit(None).cast("string").alias("text"), *zero)
     result = one.unionByName(more).unionByName(none)
+    texts.forget()
     extra = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"] if stats else []
     return result.select(*[F.col("text").alias(c) if c == text_col else F.col("held").getField(c).alias(c) for c in docs.columns], *extra)
 

@@ -131,8 +131,8 @@ def with_bound_bucket(df: DataFrame, key: str, bounds: Sequence, out: str) -> Da
     One projection per halving step (log2 of the bound count), so every step
     stays a small codegen'd expression instead of one exponentially nested tree.
     """
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
+    if not bounds:  # one bucket; not a constant, as a join on one is a nested loop
+        return df.withColumn(out, F.pmod(F.hash(key), F.lit(1)))
     size = 1
     while size < len(bounds) + 1:
         size *= 2
