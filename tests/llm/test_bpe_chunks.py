@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from textloom.llm import bpe
@@ -28,3 +30,30 @@ def test_added_tokens_are_cut_out_as_by_the_library():
     for text in texts:
         assert np.frombuffer(ours.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ours.encode(texts[1:2])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_encoder_outlives_the_task_that_made_it():
+    """The package's code comes with each task by value; the stored chunks stay in the worker."""
+    path = bpe.default_tokenizer_path()
+    task = cloudpickle.dumps(lambda: bpe.encoder(path))
+    first, second = cloudpickle.loads(task)(), cloudpickle.loads(task)()
+    assert first is second
+
+
+def test_runs_and_columns_equal_whole_texts(monkeypatch):
+    library = Tokenizer.from_file(bpe.default_tokenizer_path())
+    monkeypatch.setattr(bpe, "RUN_BYTES", 64)
+    monkeypatch.setattr(bpe, "STORE_ENTRIES", 5)
+    rnd = random.Random(3)
+    words = ["the", "The", "\u00e9t\u00e9", "\u4e2d\u6587", "end.\nNext", "a\n\nb", "a\nb,\nc", "word***", "\t", "", "x2", "<|endoftext|>"]
+    texts = [None, "", *[" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(300)], None, "z" * 500, "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    ours, got, seen = bpe.Encoder(bpe.default_tokenizer_path()), [], []
+    for run in bpe.text_runs(batch, 1):
+        assert run.num_rows == 1 or sum(len((t or "").encode()) for t in run.column(1).to_pylist()[1:]) <= 64
+        seen += run.column(0).to_pylist()
+        got += ours.encode(run.column(1))
+    assert seen == list(range(len(texts)))
+    assert got == [np.asarray(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert ours.encode(batch.column(1).slice(7, 20)) == got[7:27]
+    assert list(bpe.text_runs(batch.slice(0, 0), 1)) == [] and ours.encode([]) == []

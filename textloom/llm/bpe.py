@@ -3,7 +3,8 @@
 The pre-tokenizer of a byte-level BPE never joins text across a single space
 that stands between two non-space characters, so the space-led chunks between
 such places encode independently.  An `Encoder` has the library encode each distinct
-chunk once and joins the stored ids.  Inside a chunk it cuts at two more places that end a unit for any text:
+chunk once and joins the stored ids.  Texts are cut, and their chunks numbered, by Arrow for some megabytes at a
+time, so Python asks the store once for each distinct chunk of such a run.  Inside a chunk it cuts at two more places that end a unit for any text:
 around a line break between two non-space characters, and between a letter or digit and the marks that end the chunk.
 A text that holds the string of an added token goes to the library whole.
 The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
@@ -11,17 +12,23 @@ The store is bounded, in two generations, and ids never depend on it.  Ids are l
 
 from __future__ import annotations
 
+import codecs
 import re
 import string
 import struct
-from collections.abc import Callable
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 STORE_ENTRIES = 400_000  # bound of each of two generations of the chunk store; never changes ids
+RUN_BYTES = 1 << 23      # text that is cut at once; never changes ids
 MARKS = string.punctuation
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, "Encoder"] = {}
+_KEPT = "textloom_encoders"
 
 
 def default_tokenizer_path() -> str:
@@ -31,28 +38,37 @@ def default_tokenizer_path() -> str:
 
 
 def encoder(path: str) -> "Encoder":
-    """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker and file.  The package's code comes with each task, and its
+    globals are new each time; what outlives a task hangs on a module of the worker's own."""
+    kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The letter by which byte-level BPE writes each byte: itself if printable, else one from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return "".join(letters[b] for b in range(256))
 
 
 _LETTERS = _byte_letters()
 
 
-class _Glued(Exception):
-    """A chunk that touches more white space than the one space before it."""
+def text_runs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `RUN_BYTES` bytes of text in `column`, or one text that has more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // RUN_BYTES)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 class _Chunks(dict):
-    """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for.  `bare` holds chunks without a lead."""
+    """Chunk -> ids of `lead` + chunk; learnt from `ids_of` when first asked for.  `bare` holds chunks without a lead.
+    A chunk that touches more white space than the one space before it has None."""
 
     def __init__(self, ids_of: Callable[[str, str], bytes], lead: str, bare: "_Chunks | None" = None):
         self.ids_of, self.lead = ids_of, lead
@@ -66,21 +82,21 @@ class _Chunks(dict):
             self.old = dict(self)
             self.clear()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if (ids := self.old.get(chunk)) is not None:
-            self[chunk] = ids
-            return ids
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Glued
-        if "\n" in chunk:
-            lines = chunk.split("\n")
-            if all(line and not line[0].isspace() and not line[-1].isspace() for line in lines):
-                return self.line_break.join([self[lines[0]], *[self.bare[line] for line in lines[1:]]])
-        word = chunk.rstrip(MARKS)
-        if word and len(word) < len(chunk) and word[-1].isalnum():
-            ids = (self.get(word) or self.old.get(word) or self.ids_of(self.lead, word)) + self.bare[chunk[len(word) :]]
-        else:
-            ids = self.ids_of(self.lead, chunk)
+    def __missing__(self, chunk: str) -> bytes | None:
+        if (ids := self.old.get(chunk)) is None:
+            if not chunk.isalpha():
+                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                    return None
+                if "\n" in chunk:
+                    first, *others = chunk.split("\n")
+                    lines = [self[first], *[self.bare[line] for line in others]]
+                    if None not in lines:
+                        return self.line_break.join(lines)
+                word = chunk.rstrip(MARKS)
+                if word and len(word) < len(chunk) and word[-1].isalnum():
+                    ids = (self.get(word) or self.old.get(word) or self.ids_of(self.lead, word)) + self.bare[chunk[len(word) :]]
+            if ids is None:
+                ids = self.ids_of(self.lead, chunk)
         self[chunk] = ids
         return ids
 
@@ -93,6 +109,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)  # the store below holds what repeats
         self.model = self.tokenizer.model
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.first = _Chunks(self.ids_of, "")
         self.later = _Chunks(self.ids_of, " ", self.first)
 
@@ -102,28 +119,50 @@ class Encoder:
             if chunk.isascii():
                 unit = _LETTERS[32] + chunk if lead else chunk
             else:
-                unit = (lead + chunk).encode().decode("latin-1").translate(_LETTERS)
-            units = self.model.tokenize(unit)
-            return struct.pack(f"<{len(units)}I", *[u.id for u in units])
+                unit = codecs.charmap_decode((lead + chunk).encode(), "strict", _LETTERS)[0]
+            ids = [u.id for u in self.model.tokenize(unit)]
+            return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, "<u4").tobytes()
         return self._whole(lead + chunk)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text (null: none) as packed little-endian uint32."""
-        return [self._one(text) if text else b"" for text in texts]
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text (null: none) as packed little-endian uint32.  Hand in some megabytes at a time."""
+        if not len(texts):
+            return []
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        for chunks in (self.first, self.later):
+            chunks.renew()
+        parts = pc.split_pattern(column, " ")
+        ends = parts.offsets.to_numpy()
+        heads = ends[:-1]
+        numbered = parts.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy().astype(np.int64)
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False)
+        firsts = distinct[codes[heads]].tolist()
+        codes[heads] = len(distinct) + np.arange(len(firsts))  # the first chunk of a text has no space before it
+        stored = pa.array([*map(self.later.__getitem__, distinct.tolist()), *map(self.first.__getitem__, firsts)], pa.large_binary())
+        joined = stored.take(pa.array(codes))
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(codes) + 1)[ends]
+        raw = memoryview(joined.buffers()[2] or b"")
+        out = [bytes(raw[lo:hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+
+        alone = np.zeros(len(out), bool)
+        if stored.null_count:
+            alone |= np.logical_or.reduceat(stored.is_null().to_numpy(zero_copy_only=False)[codes], heads)
+        for token in self.added:
+            alone |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = self._one(column[i].as_py())
+        return out
 
     def _one(self, text: str) -> bytes:
+        """The ids of a text that holds an added token, or more white space in a row than one space or line break."""
         if any(token in text for token in self.added):  # cut out before any pre-tokenizing, also inside words
             return self._whole(text)
-        for chunks in (self.first, self.later):
-            chunks.renew()
-        try:
-            parts = text.split(" ")
-            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-        except _Glued:
-            pass
+        if not text:
+            return b""
         parts = _SPLIT.split(text)
         rest = [self.ids_of(" ", p) if p[0].isspace() or p[-1].isspace() else self.later[p] for p in parts[1:]]
         return self.ids_of("", parts[0]) + b"".join(rest)

@@ -17,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import default_tokenizer_path, encoder
+from textloom.llm.bpe import default_tokenizer_path, encoder, text_runs
 from textloom.llm.common import narrowed, read_table, written
 from textloom.llm.registry import register
 
 CAPACITY = 1024
 END_ID = 2
 PIECES_PER_GROUP = 50_000
-TEXTS_AT_ONCE = 512
 
 
 def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -40,10 +39,9 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
+            for part in text_runs(batch, 1):
                 rows: list[tuple] = []
-                for i, raw in enumerate(encode(part.column(1).to_pylist())):
+                for i, raw in enumerate(encode(part.column(1))):
                     raw += end
                     n = len(raw) // 4
                     start = 0

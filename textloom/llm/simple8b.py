@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import default_tokenizer_path, encoder
+from textloom.llm.bpe import default_tokenizer_path, encoder, text_runs
 from textloom.llm.common import narrowed, read_table, scratch, written
 from textloom.llm.registry import register
 
@@ -31,7 +31,6 @@ BLOCK = 256
 FRAME_IDS = 1 << 20
 MAGIC = 0x31305838424C5854
 END_ID = 0
-TEXTS_AT_ONCE = 512
 
 
 _SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
@@ -172,10 +171,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             return len(data)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
+            for some in text_runs(batch, 1):
                 out = out or system.open_output_stream(f"{base}/{name}")
-                for doc_id, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for doc_id, raw in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     raw += end
                     ids.append(doc_id), lengths.append(len(raw) // 4), raws.append(raw)
                     held += len(raw) // 4
