@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from textloom.llm import bpe
+from textloom.llm.common import releasing
 
 
 def test_chunks_equal_whole_texts():
@@ -40,6 +43,21 @@ def test_encoder_outlives_the_task_that_made_it():
     assert first is second
 
 
+def test_idle_worker_empties_its_store(monkeypatch):
+    """Later steps of a job run in the same workers and need the memory."""
+    monkeypatch.delitem(sys.modules, bpe._KEPT, raising=False)
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.6)
+    ours = bpe.encoder(bpe.default_tokenizer_path())
+    texts = ["The first text.\nAnd its second line", "another one", None]
+    want = ours.encode(texts)
+    assert ours.first and ours.later
+    until = time.monotonic() + 20
+    while (ours.first or ours.later or ours.first.old or ours.later.old) and time.monotonic() < until:
+        time.sleep(0.05)
+    assert not (ours.first or ours.later or ours.first.old or ours.later.old)
+    assert ours.encode(texts) == want
+
+
 def test_runs_and_columns_equal_whole_texts(monkeypatch):
     library = Tokenizer.from_file(bpe.default_tokenizer_path())
     monkeypatch.setattr(bpe, "RUN_BYTES", 64)
@@ -57,3 +75,16 @@ def test_runs_and_columns_equal_whole_texts(monkeypatch):
     assert got == [np.asarray(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert ours.encode(batch.column(1).slice(7, 20)) == got[7:27]
     assert list(bpe.text_runs(batch.slice(0, 0), 1)) == [] and ours.encode([]) == []
+
+
+def test_task_gives_freed_memory_back(monkeypatch):
+    order = []
+
+    class Pool:
+        def release_unused(self):
+            order.append("released")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    for got in releasing(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        order.append(got)
+    assert order == [2, 3, "released"]

@@ -7,7 +7,8 @@ chunk once and joins the stored ids.  Texts are cut, and their chunks numbered,
 time, so Python asks the store once for each distinct chunk of such a run.  Inside a chunk it cuts at two more places that end a unit for any text:
 around a line break between two non-space characters, and between a letter or digit and the marks that end the chunk.
 A text that holds the string of an added token goes to the library whole.
-The store is bounded, in two generations, and ids never depend on it.  Ids are little-endian unsigned 32-bit.
+The store is bounded, in two generations, and ids never depend on it.  A worker that has not encoded for some seconds
+empties it, so the steps after it find the memory free.  Ids are little-endian unsigned 32-bit.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import re
 import string
 import struct
 import sys
+import threading
+import time
 import types
 from collections.abc import Callable, Iterator
 
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STORE_ENTRIES = 400_000  # bound of each of two generations of the chunk store; never changes ids
+STORE_ENTRIES = 300_000  # bound of each of two generations of the chunk store; never changes ids
 RUN_BYTES = 1 << 23      # text that is cut at once; never changes ids
+IDLE_SECONDS = 3.0       # without a text to encode, until a worker empties its store; never changes ids
 MARKS = string.punctuation
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _KEPT = "textloom_encoders"
@@ -43,6 +47,7 @@ def encoder(path: str) -> "Encoder":
     kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
+        threading.Thread(target=kept[path].empty_when_idle, daemon=True).start()
     return kept[path]
 
 
@@ -82,6 +87,10 @@ class _Chunks(dict):
             self.old = dict(self)
             self.clear()
 
+    def empty(self) -> None:
+        self.old = {}
+        self.clear()
+
     def __missing__(self, chunk: str) -> bytes | None:
         if (ids := self.old.get(chunk)) is None:
             if not chunk.isalpha():
@@ -112,6 +121,15 @@ class Encoder:
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.first = _Chunks(self.ids_of, "")
         self.later = _Chunks(self.ids_of, " ", self.first)
+        self.busy, self.used = threading.Lock(), time.monotonic()
+
+    def empty_when_idle(self) -> None:
+        """Never ends: for a thread of the worker's own."""
+        while True:
+            time.sleep(IDLE_SECONDS / 3)
+            with self.busy:
+                if time.monotonic() - self.used > IDLE_SECONDS and (self.first or self.later):
+                    self.first.empty(), self.later.empty()
 
     def ids_of(self, lead: str, chunk: str) -> bytes:
         """The ids of `lead` (a space or nothing) and `chunk`."""
@@ -129,8 +147,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text (null: none) as packed little-endian uint32.  Hand in some megabytes at a time."""
-        if not len(texts):
-            return []
+        with self.busy:
+            out = self._encode(texts) if len(texts) else []
+            self.used = time.monotonic()
+        return out
+
+    def _encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
         for chunks in (self.first, self.later):
             chunks.renew()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import default_tokenizer_path, encoder, text_runs
-from textloom.llm.common import narrowed, read_table, written
+from textloom.llm.common import narrowed, read_table, releasing, written
 from textloom.llm.registry import register
 
 CAPACITY = 1024
@@ -54,7 +54,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [part.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(starts, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)
 
 
 class OpenBins:

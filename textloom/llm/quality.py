@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import narrowed, read_table
+from textloom.llm.bpe import text_runs
+from textloom.llm.common import narrowed, read_table, releasing
 from textloom.llm.registry import register
 
 MIN_WORDS = 50
@@ -33,7 +34,7 @@ MIN_REPEAT = 8           # words that a repeat needs to count for cover
 MAX_COVERED = 0.5        # of a text's words
 MAX_LONGEST = 0.25       # of a text's words
 LONGEST_FROM = 50        # words; shorter repeats never fail a text by their length alone
-BATCH_WORDS = 400_000    # words sorted together; a longer text is sorted alone
+BATCH_WORDS = 100_000    # words sorted together; a longer text is sorted alone
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -157,14 +158,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {_OUT}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _OUT.split(", ")]
         for batch in batches:
-            rows = list(quality_rows(batch.column(1).to_pylist(), min_repeat, max_covered, max_longest, BATCH_WORDS))
-            cols = list(zip(*rows)) if rows else [()] * 9
-            names = [x.split()[0] for x in _OUT.split(", ")]
-            arrays = [pa.array(c, pa.bool_() if i >= 7 else pa.int64()) for i, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *names])
+            for part in text_runs(batch, 1):
+                cols = zip(*quality_rows(part.column(1).to_pylist(), min_repeat, max_covered, max_longest, BATCH_WORDS))
+                arrays = [pa.array(c, pa.bool_() if i >= 7 else pa.int64()) for i, c in enumerate(cols)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)
 
 
 def keep_by_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -174,10 +175,11 @@ def keep_by_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = quality_rows(batch.column(text_at).to_pylist(), batch_words=BATCH_WORDS, **args)
-            yield batch.filter(pa.array([r[-1] for r in rows], pa.bool_()))
+            for part in text_runs(batch, text_at):
+                rows = quality_rows(part.column(text_at).to_pylist(), batch_words=BATCH_WORDS, **args)
+                yield part.filter(pa.array([r[-1] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 @register("op7_quality_rules")

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, narrowed, read_table, written
+from textloom.llm.bpe import text_runs
+from textloom.llm.common import fresh, narrowed, read_table, releasing, written
 from textloom.llm.components import components
 from textloom.llm.registry import register
 
@@ -68,11 +69,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((text_fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
+            for part in text_runs(batch, 1):
+                fps = np.fromiter((text_fingerprint(t, words_per_shingle) for t in part.column(1).to_pylist()), dtype=np.uint64, count=part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
     kept = narrowed(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, th long, fp long")
+    return kept.mapInArrow(releasing(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def segment_plan(max_bits: int, segments: int) -> list[tuple[int, int, int]]:
